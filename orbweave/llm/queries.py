@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, pii, sharding, url_filter
+from . import byte_bpe, exact_dedup, language_id, pii, quality, sharding, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
