@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, pii, quality, sharding, url_filter
+from . import byte_bpe, exact_dedup, language_id, pii, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
 }
