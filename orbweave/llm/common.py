@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """From now on an Arrow batch of this session closes at `most` bytes (one longer row still goes whole)."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1, from 0) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import blocks, table, table64
+from .common import blocks, bounded_batches, table, table64
 from .components import components
 from .substring_dedup import Words, _flags, _list, _sources, _with_buckets, repeated
 
@@ -185,6 +185,7 @@ def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     own. Rows that repeat both doc_id and text are linked to each other and share one fate. An empty table gives an
     empty result; other columns are not read, and texts may be of any length.
     """
+    bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     own = F.coalesce(F.col(text), F.lit(""))
     key = F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\u0001"), own).cast("binary"), 256)
