@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, pii, quality, sharding, substring_dedup, url_filter
+from . import byte_bpe, decontamination, exact_dedup, language_id, near_dedup, pii, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_language_id": language_id.op3_language_id,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
