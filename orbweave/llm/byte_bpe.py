@@ -337,8 +337,8 @@ def decode(df: DataFrame, ranks: str | None = None, ids: str = "ids") -> DataFra
     return rows.mapInArrow(spell, ", ".join(filter(None, [schema, "text string"])))
 
 
-def digests(df: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(df: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
     tokens = tuple(read_ranks(ranks or default_ranks()))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,10 +346,10 @@ def digests(df: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", tex
             lists = batch.column("ids")
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
             ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ids, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ids, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), *[lists] * with_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,11 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def _key(doc_id: str, text: str):
+    """What a row is known by: its id and text."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\u0001"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+
+
 def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, group_id, n_links, kept.
 
@@ -185,11 +190,25 @@ def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     own. Rows that repeat both doc_id and text are linked to each other and share one fate. An empty table gives an
     empty result; other columns are not read, and texts may be of any length.
     """
+    return _linked(df, threshold, shingle, doc_id, text).drop("key")
+
+
+def kept_rows(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that near_dedup keeps, with all their columns: one of each group, and every text without a shingle."""
+    marks = _linked(df, threshold, shingle, doc_id, text).filter("kept").groupBy(F.col("key").alias("_ow_mark")).agg(F.count("*").alias("_ow_n"))
+    marks = materialise(marks, "kept")
+    out = df.withColumn("_ow_key", _key(doc_id, text)).join(marks, F.col("_ow_key") == F.col("_ow_mark"))
+    if marks.filter("_ow_n > 1").limit(1).count():  # repeated rows: one of them stays
+        out = out.filter("_ow_n = 1").unionByName(out.filter("_ow_n > 1").dropDuplicates(["_ow_key"]))
+    return out.select(*[out[c] for c in df.columns])
+
+
+def _linked(df: DataFrame, threshold: float, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """near_dedup's rows, and the key of each."""
     bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     own = F.coalesce(F.col(text), F.lit(""))
-    key = F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\u0001"), own).cast("binary"), 256)
-    docs = df.select(F.col(doc_id).alias("doc_id"), own.alias("text"), F.unhex(key).alias("key"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), own.alias("text"), _key(doc_id, text).alias("key"))
     length = prefix(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,13 +306,14 @@ def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     else:  # a group that lies in several tasks
         roots = components(verified.select(F.col("cls").alias("a"), F.col("up").alias("b")))
         grouped = counts.drop("up").join(roots, counts["cls"] == roots["node"], "left").select("cls", "links", F.coalesce("root", "cls").alias("up"))
-    of = of_class.select("cls", F.col("top.doc_id").alias("class_id"), "docs").join(grouped, "cls", "left").withColumn("up", F.coalesce("up", "cls"))
-    top = of.groupBy("up").agg(F.max("class_id").alias("group_id"))
-    of = of.join(top, "up").select("cls", "class_id", "group_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    of = of_class.select("cls", "top", "docs").join(grouped, "cls", "left").withColumn("up", F.coalesce("up", "cls"))
+    best = of.groupBy("up").agg(F.max("top").alias("best"))
+    of = of.join(best, "up").select("cls", F.col("top.doc_id").alias("class_id"), F.col("best.doc_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.col("best.key").alias("stays"))
     of = materialise(of, "linked")
-    out = signed.filter("cls IS NOT NULL").select("doc_id", "cls").join(of, "cls").select("doc_id", "class_id", "group_id", "n_links")
-    none = signed.filter("cls IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    some = signed.filter("cls IS NOT NULL").select("doc_id", "key", "cls").join(of, "cls")
+    some = some.select("doc_id", "key", "class_id", "group_id", "n_links", (F.col("key") == F.col("stays")).alias("kept"))
+    none = signed.filter("cls IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return some.unionByName(none)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
