@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import blocks, mix64, span_hashes, table, utf8
+from .common import blocks, bounded_batches, mix64, span_hashes, table, utf8
 
-#: Hashes in a bucket, about.
+#: Bytes of text in a block, and about how many hashes in a bucket.
+BLOCK = 2_000_000
 BUCKET = 1_000_000
 #: The shortest length at which repeats are sought.
 SHORTEST = 16
@@ -198,6 +199,7 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
     or empty text has no words, and one shorter than the window loses none. Rows that repeat are repeats of each other
     and lose every window. Texts may be of any length. An empty table gives an empty result; other columns are not read.
     """
+    bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     steps = levels(window, shortest)
     own = F.coalesce(F.col(text), F.lit(""))
@@ -207,7 +209,7 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
     # The first length, over all documents: a row for each block.
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = _sources()
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             words = Words(block.column("text"), window)
             h, windows, part = words.parts(steps[0], words.whole)
             raw = words.data.tobytes()
@@ -251,7 +253,7 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = _sources()
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             words = Words(block.column("text"), window)
             h, windows, part = words.parts(steps[0], words.whole)
             place = np.searchsorted(windows, words.first)
