@@ -30,11 +30,11 @@ from .common import blocks, bounded_batches, mix64, span_hashes, table, utf8
 BLOCK = 2_000_000
 BUCKET = 1_000_000
 #: The shortest length at which repeats are sought.
-SHORTEST = 16
+SHORTEST = 8
 
 
 def levels(window: int, shortest: int = SHORTEST) -> list[int]:
-    """Lengths from the shortest up to window, each at most twice the one before: 35 gives [18, 35]."""
+    """Lengths from the shortest up to window, each at most twice the one before: 35 gives [9, 18, 35]."""
     out = [window]
     while -(-out[0] // 2) >= shortest:
         out.insert(0, -(-out[0] // 2))
