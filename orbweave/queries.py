@@ -1,6 +1,456 @@
-"""The registry of the engine's own queries and their DuckDB SQL."""
+"""The engine's own queries, one for each operator, and the same in DuckDB's SQL over the same tables.
+
+Doubles are rounded to six places, and + 0.0 makes a negative zero a plain one.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as X
+from .functions import crs as C
+from .functions import geo
+from .functions import props as P
+from .functions import scoring as S
+from .operators import orders as O
+from .operators import raster as R
+from .operators import samples as A
+from .operators import scenes as SC
+from .operators import smoothing as M
+from .operators import tiles as T
+from .plans import planner
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+GRID = T.Grid(0.0, 0.0, 12000.0, 12000.0, 1000.0)
+WIDTH = 25
+
+# DuckDB's side of the readings: the same rules as text.
+_NUM = "TRY_CAST(trim({0}) AS DOUBLE)"
+_CLEAR_PERCENT = _NUM.format("coalesce(nullif(clear_percent, ''), nullif(pl_clear_percent, ''))")
+_CLEAR_SHARE = _NUM.format("nullif(clear_fraction, '')")
+
+
+def _pct(v: str) -> str:
+    return f"CASE WHEN {v} IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN {v} >= 1 THEN {v} / 100 ELSE {v} END)) END"
+
+
+def _share(v: str) -> str:
+    return f"CASE WHEN {v} IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN {v} > 1 THEN {v} / 100 ELSE {v} END)) END"
+
+
+_CLEAR = f"coalesce({_pct(_CLEAR_PERCENT)}, {_share(_CLEAR_SHARE)}, 1 - {_share('cloud_cover')})"
+_SCENES = f"WITH f AS ({X.sql('SCENES')}), s AS (SELECT *, {_CLEAR} AS clear FROM f)"
+_GROUND = "lower(trim(ground_control)) IN ('true', '1', 'yes', 'y')"
+_QUALITY = """(CASE WHEN view_angle IS NOT NULL THEN 0.5 * exp(-pow(abs(view_angle) / 15.0, 2)) ELSE 0 END + CASE WHEN gsd > 0 THEN 0.5 * exp(-pow(greatest(0.0, gsd - 3.0) / 1.5, 2)) ELSE 0 END)
+  / nullif(CASE WHEN view_angle IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN gsd > 0 THEN 0.5 ELSE 0 END, 0)"""
+_KEPT = "NOT coalesce(CASE WHEN cloud_cover > 1 THEN cloud_cover / 100 ELSE cloud_cover END > 0.6, false) AND NOT coalesce(sun_elevation < 30, false)"
+_GOOD = f"SELECT *, coalesce({_QUALITY}, 0.5) AS quality FROM s WHERE {_KEPT} AND clear >= 0.5"
+_PAIRS = f"""{_SCENES}, good AS ({_GOOD}), tiles AS (SELECT CAST(x.t * 12 + y.t AS INT) AS tile_id, x.t * 1000.0 AS txmin, y.t * 1000.0 AS tymin FROM range(12) x(t), range(12) y(t)),
+pairs AS (SELECT good.*, tile_id FROM good JOIN tiles ON xmin <= txmin + 1000 AND xmax >= txmin AND ymin <= tymin + 1000 AND ymax >= tymin)"""
+
+
+def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.scenes(spark, sf_dir)
+    props = F.col("props")
+    return SC.candidates(found.filter(SC.cloud_ok(props, 0.6)).filter(SC.sun_ok(props, 30.0)), 0.5)
+
+
+def _tiles(spark: SparkSession) -> DataFrame:
+    return T.cells(spark, GRID).withColumn("tile_id", (F.col("tx") * GRID.ny + F.col("ty")).cast("int"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.scene_tile_join(_good(spark, sf_dir), _tiles(spark), GRID)
+
+
+@query(f"{_SCENES} SELECT month, count(*) AS candidates, CAST(count(*) FILTER (WHERE clear >= 0.5 AND {_KEPT}) AS BIGINT) AS filtered, round(avg(clear), 6) + 0.0 AS mean_clear FROM s GROUP BY month")
+def scene_quality_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.col("props")
+    rows = X.scenes(spark, sf_dir).withColumn("clear", P.clear_fraction(props))
+    kept = (F.col("clear") >= 0.5) & SC.cloud_ok(props, 0.6) & SC.sun_ok(props, 30.0)
+    return rows.groupBy("month").agg(F.count("*").alias("candidates"), F.count_if(kept).alias("filtered"), r6(F.avg("clear")).alias("mean_clear"))
+
+
+@query(f"{_SCENES} SELECT item_id, round(clear, 6) + 0.0 AS clear_fraction FROM s")
+def scene_clear_fraction(spark, sf_dir):
+    return X.scenes(spark, sf_dir).select("item_id", r6(P.clear_fraction(F.col("props"))).alias("clear_fraction"))
+
+
+@query(f"""{_SCENES} SELECT item_id, NOT coalesce(CASE WHEN cloud_cover > 1 THEN cloud_cover / 100 ELSE cloud_cover END > 0.1, false) AS cloud_ok, NOT coalesce(sun_elevation < 35, false) AS sun_ok,
+  instrument IS NULL OR lower(trim(instrument)) IN ('ps2', 'ps2.sd') AS instrument_ok, coalesce(clear >= 0.8, false) AS clear_ok,
+  coalesce({_GROUND}, false) AND coalesce(lower(trim(quality_category)) = 'standard', false) AND coalesce(abs(view_angle) <= 10, false) AS quality_ok FROM s""")
+def scene_filters(spark, sf_dir):
+    p = F.col("props")
+    return X.scenes(spark, sf_dir).select(
+        "item_id",
+        SC.cloud_ok(p, 0.1).alias("cloud_ok"),
+        SC.sun_ok(p, 35.0).alias("sun_ok"),
+        SC.instrument_ok(p, ["PS2", " ps2.sd "]).alias("instrument_ok"),
+        F.coalesce(P.clear_fraction(p) >= 0.8, F.lit(False)).alias("clear_ok"),
+        SC.quality_ok(p, require_ground_control=True, quality_category="Standard", max_view_angle=10.0).alias("quality_ok"),
+    )
+
+
+@query(f"{_SCENES} SELECT item_id, round(coalesce({_QUALITY}, 0.5), 6) + 0.0 AS quality_score, round(greatest(0.0, 1 + 0.35 * (coalesce({_QUALITY}, 0.5) - 0.5) * 2), 6) + 0.0 AS multiplier FROM s")
+def scene_quality_score(spark, sf_dir):
+    q = S.quality_score(F.col("props"))
+    return X.scenes(spark, sf_dir).select("item_id", r6(q).alias("quality_score"), r6(S.quality_multiplier(q, 0.35)).alias("multiplier"))
+
+
+@query(f"""{_SCENES}, e AS (SELECT DISTINCT month, lower(trim(constellation)) AS word FROM s WHERE lower(trim(instrument)) = 'psb.sd' AND constellation IS NOT NULL)
+SELECT s.item_id FROM s WHERE lower(trim(instrument)) = 'psb.sd' OR (instrument IS NULL AND EXISTS (SELECT 1 FROM e WHERE e.month = s.month AND e.word = lower(trim(s.constellation))))""")
+def instrument_fallback(spark, sf_dir):
+    return SC.instrument_filter(X.scenes(spark, sf_dir), ["PSB.SD"], ["month"]).select("item_id")
+
+
+@query(f"""{_SCENES} SELECT item_id, instrument, constellation, CAST(cloud_cover AS VARCHAR) IS NOT NULL AS has_cloud, coalesce(nullif(clear_percent, ''), nullif(pl_clear_percent, ''), nullif(clear_fraction, '')) AS clear_percent,
+  round(sun_elevation, 6) + 0.0 AS sun_elevation, round(sun_azimuth, 6) + 0.0 AS sun_azimuth, round(view_angle, 6) + 0.0 AS view_angle, ground_control, quality_category, CAST(NULL AS VARCHAR) AS publishing_stage, round(gsd, 6) + 0.0 AS gsd FROM s""")
+def scene_snapshot(spark, sf_dir):
+    s = X.scenes(spark, sf_dir).select("item_id", P.snapshot(F.col("props")).alias("s"))
+    number = [r6(F.col(f"s.{c}").cast("double")).alias(c) for c in ("sun_elevation", "sun_azimuth", "view_angle", "gsd")]
+    return s.select("item_id", "s.instrument", "s.constellation", F.col("s.cloud_cover").isNotNull().alias("has_cloud"), "s.clear_percent", "s.ground_control", "s.quality_category", "s.publishing_stage", *number)
+
+
+@query("""SELECT strftime(m, '%Y-%m') AS month, greatest(CAST(m AS DATE), DATE '2023-11-15') AS month_start, least(CAST(last_day(m) AS DATE), DATE '2024-03-10') AS month_end
+FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-03-10', INTERVAL 1 MONTH)) AS m)""")
+def month_series(spark, sf_dir):
+    return planner.month_series(spark, "2023-11-15", "2024-03-10")
+
+
+_AREA = geo.Geometry.read({"type": "Polygon", "coordinates": [[[0, 0], [5200, 0], [5200, 2300], [2600, 2300], [0, 0]]]})
+
+
+@query("""WITH t AS (SELECT x.t AS tx, y.t AS ty, x.t * 1000.0 AS xmin, y.t * 1000.0 AS ymin, least(x.t * 1000.0 + 1000, 5200.0) AS xmax, least(y.t * 1000.0 + 1000, 2300.0) AS ymax FROM range(6) x(t), range(3) y(t))
+SELECT CAST(row_number() OVER (ORDER BY tx, ty) - 1 AS INT) AS tile_id, xmin, ymin, xmax, ymax FROM t WHERE 2600 * ymin <= 2300 * xmax""")
+def tile_grid(spark, sf_dir):
+    return T.tile_grid(spark, _AREA, 1000.0).select("tile_id", "xmin", "ymin", "xmax", "ymax")
+
+
+@query(f"{_PAIRS} SELECT item_id, list(tile_id ORDER BY tile_id) AS tiles FROM pairs GROUP BY item_id")
+def scene_tile_join(spark, sf_dir):
+    return _pairs(spark, sf_dir).groupBy("item_id").agg(F.sort_array(F.collect_list("tile_id")).alias("tiles"))
+
+
+@query(f"""{_PAIRS}, obs AS (SELECT month, tile_id, sum(clear) AS obs FROM pairs GROUP BY ALL)
+SELECT s.month, CAST(144 AS BIGINT) AS tile_count, round(count(obs) / 144.0, 6) + 0.0 AS coverage, round(count(CASE WHEN obs >= 3 THEN 1 END) / 144.0, 6) + 0.0 AS depth
+FROM (SELECT DISTINCT month FROM s) s LEFT JOIN obs USING (month) GROUP BY s.month""")
+def coverage_depth(spark, sf_dir):
+    tiles = _tiles(spark)
+    state = T.tile_state(T.scene_tile_join(_good(spark, sf_dir), tiles, GRID), ["month"])
+    groups = X.scenes(spark, sf_dir).select("month").distinct()
+    return T.coverage_depth(state, tiles, ["month"], groups, 3.0).select("month", "tile_count", r6("coverage").alias("coverage"), r6("depth").alias("depth"))
+
+
+_STATE = """SELECT month, tile_id, sum(clear) AS obs, CASE WHEN sum(CASE WHEN sun_azimuth IS NOT NULL THEN clear END) > 0 THEN degrees(atan2(sum(sin(radians(sun_azimuth)) * clear), sum(cos(radians(sun_azimuth)) * clear))) END AS a,
+  CASE WHEN sum(CASE WHEN sun_elevation IS NOT NULL THEN clear END) > 0 THEN sum(sun_elevation * clear) / sum(CASE WHEN sun_elevation IS NOT NULL THEN clear END) END AS e FROM {0} GROUP BY month, tile_id"""
+
+
+@query(f"{_PAIRS}, st AS ({_STATE.format('pairs')}) SELECT month, tile_id, round(obs, 6) + 0.0 AS clear_obs, round(CASE WHEN a < 0 THEN a + 360 ELSE a END, 6) + 0.0 AS mean_azimuth, round(e, 6) + 0.0 AS mean_elevation FROM st")
+def tile_lighting(spark, sf_dir):
+    return T.tile_state(_pairs(spark, sf_dir), ["month"]).select("month", "tile_id", *[r6(c).alias(c) for c in ("clear_obs", "mean_azimuth", "mean_elevation")])
+
+
+_MULT = "greatest(0.0, 1 + 0.35 * (quality - 0.5) * 2)"
+
+
+def _greedy_sql(rounds: int) -> str:
+    """The first rounds of the greedy choice, one after the other."""
+    out = f"{_PAIRS}, score0 AS (SELECT month, ord, sum(4.0 * clear * {_MULT}) AS score FROM pairs GROUP BY month, ord), pick0 AS (SELECT month, ord, score, 0 AS k FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(score, 9) DESC, ord) AS n FROM score0 WHERE score > 0) WHERE n = 1)"
+    for k in range(1, rounds):
+        taken = " UNION ALL ".join(f"SELECT month, ord FROM pick{j}" for j in range(k))
+        out += f""", taken{k} AS ({taken}), st{k} AS ({_STATE.format(f"(SELECT pairs.* FROM pairs JOIN taken{k} USING (month, ord))")}),
+score{k} AS (SELECT p.month, p.ord, sum(CASE WHEN st.obs IS NULL OR st.obs < 3 THEN (1 + greatest(0.0, 3 - coalesce(st.obs, 0))) * p.clear * {_MULT}
+  * coalesce(exp(-pow(abs(((p.sun_azimuth - CASE WHEN st.a < 0 THEN st.a + 360 ELSE st.a END + 540) % 360) - 180) / 20.0, 2)), 1) * coalesce(exp(-pow(abs(p.sun_elevation - st.e) / 10.0, 2)), 1) ELSE 0 END) AS score
+  FROM pairs p LEFT JOIN st{k} st USING (month, tile_id) LEFT JOIN taken{k} t ON t.month = p.month AND t.ord = p.ord WHERE t.ord IS NULL GROUP BY p.month, p.ord),
+pick{k} AS (SELECT month, ord, score, {k} AS k FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(score, 9) DESC, ord) AS n FROM score{k} WHERE score > 0) WHERE n = 1)"""
+    return out
+
+
+@query(f"{_PAIRS} SELECT month, ord, item_id, round(sum(4.0 * clear * {_MULT}), 6) + 0.0 AS score FROM pairs GROUP BY month, ord, item_id")
+def candidate_score_step0(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return T.scores(pairs, T.tile_state(pairs.limit(0), ["month"]), ["month"]).select("month", "ord", "item_id", r6("score").alias("score"))
+
+
+@query(_greedy_sql(2) + " SELECT month, ord, 'scene-' || CAST(ord AS VARCHAR) AS item_id, round(score, 6) + 0.0 AS score FROM score1")
+def candidate_score_step1(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    first = T.scores(pairs, T.tile_state(pairs.limit(0), ["month"]), ["month"]).groupBy("month").agg(F.max_by("ord", F.struct(F.round("score", 9), -F.col("ord"))).alias("taken"))
+    marked = pairs.join(F.broadcast(first), "month")  # a row a month
+    state = T.tile_state(marked.filter("ord = taken"), ["month"])
+    return T.scores(marked.filter("ord <> taken"), state, ["month"]).select("month", "ord", "item_id", r6("score").alias("score"))
+
+
+def _candidates(spark, sf_dir):
+    good = _good(spark, sf_dir)
+    on = T.scene_tile_join(good.select("month", "ord", "xmin", "ymin", "xmax", "ymax"), _tiles(spark), GRID).groupBy("month", "ord").agg(F.sort_array(F.collect_list("tile_id")).alias("tiles"))
+    return good.join(on, ["month", "ord"])
+
+
+@query(_greedy_sql(3) + " SELECT month, ord, CAST(k + 1 AS BIGINT) AS rank FROM (SELECT * FROM pick0 UNION ALL SELECT * FROM pick1 UNION ALL SELECT * FROM pick2)")
+def greedy_plan_k3(spark, sf_dir):
+    return planner.select(_candidates(spark, sf_dir), 144).filter("rank <= 3")
+
+
+@query()
+def greedy_plan(spark, sf_dir):
+    return planner.select(_candidates(spark, sf_dir), 144)
+
+
+@query(f"""WITH i AS ({X.sql('ITEMS')}), n AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY ord) - 1 AS p FROM i)
+SELECT period, CAST(p // 500 + 1 AS BIGINT) AS batch, count(*) AS n, 'plan_' || period || CASE WHEN p // 500 = 0 THEN '' ELSE '_' || CAST(p // 500 + 1 AS VARCHAR) END AS name, min(ord) AS first_ord, max(ord) AS last_ord FROM n GROUP BY ALL""")
+def order_batches(spark, sf_dir):
+    rows = O.batches(X.load(spark, sf_dir, "ITEMS"), "period")
+    return rows.groupBy("period", "batch").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).withColumn("name", O.batch_name(F.concat(F.lit("plan_"), "period"), F.col("batch")))
+
+
+@query(f"""{_SCENES}, q AS (SELECT *, coalesce(({_QUALITY.replace('0.5 *', '0.1 *').replace('THEN 0.5', 'THEN 0.1')}), 0.5) AS oq FROM s WHERE lower(trim(instrument)) IN ('ps2', 'psb.sd') AND clear >= 0.3 AND {_GROUND} AND abs(view_angle) <= 15 AND ord % 3 <> 0)
+SELECT month, item_id, CAST(rank AS BIGINT) AS rank, round(combined, 6) + 0.0 AS combined FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY combined DESC, clear DESC, ord) AS rank FROM (SELECT *, clear * greatest(0.0, 1 + 0.35 * (oq - 0.5) * 2) AS combined FROM q)) WHERE rank <= 20""")
+def replacement_topk(spark, sf_dir):
+    rows = X.scenes(spark, sf_dir)
+    out = SC.replacements(rows, 20, rows.filter("ord % 3 = 0"), ["PS2", "PSB.SD"], 0.3, 0.35, ["month"], require_ground_control=True, max_view_angle=15.0)
+    return out.select("month", "item_id", F.col("rank").cast("long").alias("rank"), r6("combined").alias("combined"))
+
+
+_ERRORS = [
+    (1, '{"field":{"Details":[{"message":"no access to assets: PSScene/a1/[x]"},{"message":"no access to assets: PSScene/b2/[y]"},{"message":"no access to assets: PSScene/a1/[z]"}]}}'),
+    (2, 'Bad request: {"field":{"details":[{"message":"no access to assets: PSScene/c3"}]}} (400)'),
+    (3, '{"field":null}'),
+    (4, "no json at all"),
+    (5, '{"field":{"Details":[{"message":"other trouble: PSScene/d4/"}]}}'),
+]
+
+
+@query("SELECT * FROM (VALUES (1, ['a1', 'b2']), (2, ['c3']), (3, CAST([] AS VARCHAR[])), (4, CAST([] AS VARCHAR[])), (5, CAST([] AS VARCHAR[]))) t(id, item_ids)")
+def error_extract(spark, sf_dir):
+    return spark.createDataFrame(_ERRORS, "id int, message string").select("id", O.inaccessible(F.col("message")).alias("item_ids"))
+
+
+_META = f"WITH m AS ({X.sql('STRIP_META')}), n AS (SELECT label, count(*) AS n FROM m GROUP BY label)"
+
+
+@query(f"{_META} SELECT label, n, n = (SELECT max(n) FROM n) AS majority FROM n")
+def crs_majority(spark, sf_dir):
+    return O.crs_counts(X.load(spark, sf_dir, "STRIP_META")).select("label", "n", "majority")
+
+
+@query(f"""{_META}, mean AS (SELECT avg(lon) AS x, avg(lat) AS y FROM m), d AS (SELECT label, min(pow(lon - x, 2) + pow(lat - y, 2)) AS d FROM m, mean WHERE label IN (SELECT label FROM n WHERE n >= (SELECT max(n) - 10 FROM n)) GROUP BY label)
+SELECT label, round(d, 6) + 0.0 AS d2 FROM d ORDER BY round(d, 6), label LIMIT 1""")
+def crs_tiebreak(spark, sf_dir):
+    return O.crs_choice(X.load(spark, sf_dir, "STRIP_META"), slack=10).select("label", r6("d2").alias("d2"))
+
+
+@query(f"""WITH m AS ({X.sql('STRIP_META')}), s AS (SELECT ord, lon, sin(radians(lat)) AS s FROM m)
+SELECT ord, round(CAST({C.A * C.K0_6933!r} AS DOUBLE) * radians(lon), 6) + 0.0 AS x, round(CAST({C.A!r} AS DOUBLE) * CAST({1 - C.E2!r} AS DOUBLE) * (s / (1 - CAST({C.E2!r} AS DOUBLE) * s * s) - ln((1 - CAST({C.E!r} AS DOUBLE) * s) / (1 + CAST({C.E!r} AS DOUBLE) * s)) / (2 * CAST({C.E!r} AS DOUBLE))) / (2 * CAST({C.K0_6933!r} AS DOUBLE)), 6) + 0.0 AS y FROM s""")
+def project_6933(spark, sf_dir):
+    x, y = C.to_6933(F.col("lon"), F.col("lat"))
+    return X.load(spark, sf_dir, "STRIP_META").select("ord", r6(x).alias("x"), r6(y).alias("y"))
+
+
+_STRIPS = f"WITH p AS ({X.sql('STRIPS')})"
+
+
+@query(f"{_STRIPS} SELECT strip, r, c, " + ", ".join(f"round(CASE WHEN udm = 1 THEN {b} ELSE 0 END, 6) + 0.0 AS {b}" for b in ("green", "red", "nir")) + " FROM p")
+def udm_mask(spark, sf_dir):
+    pixels = X.load(spark, sf_dir, "STRIPS")
+    joined = pixels.drop("udm").join(pixels.select("strip", "r", "c", "udm"), ["strip", "r", "c"])  # the mask is a raster of its own
+    return R.masked(joined, ["green", "red", "nir"]).select("strip", "r", "c", *[r6(b).alias(b) for b in ("green", "red", "nir")])
+
+
+@query(f"{_STRIPS} SELECT strip, r, c, round(CASE WHEN red = 0 OR nir = 0 OR nir + red = 0 THEN 0 ELSE (nir - red) / (nir + red) END, 6) + 0.0 AS ndvi FROM p")
+def ndvi(spark, sf_dir):
+    return X.load(spark, sf_dir, "STRIPS").select("strip", "r", "c", r6(R.ndvi(F.col("red"), F.col("nir"))).alias("ndvi"))
+
+
+@query("SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, " + ", ".join(f"round(CAST(embedding[{b}] AS DOUBLE), 6) + 0.0 AS b{k}" for k, b in enumerate((5, 1, 64, 2))) + ", round(CAST(embedding[64] AS DOUBLE), 6) + 0.0 AS s FROM embeddings")
+def band_select_stack(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PIXELS")
+    both = R.stack([p, p], [5, 1, 128, 66], 128)
+    return both.select("r", "c", *[r6(F.element_at("bands", k + 1).cast("double")).alias(f"b{k}") for k in range(4)], r6(F.element_at("bands", 3).cast("double")).alias("s"))
+
+
+@query("SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, vec_id % 17 = 0 AS nodata FROM embeddings")
+def nodata_mask(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PIXELS").withColumn("bands", F.when(F.col("nodata"), F.transform("bands", lambda x, k: F.when(k == 2, F.lit(float("nan")).cast("float")).otherwise(x))).otherwise(F.col("bands")))
+    return p.select("r", "c", R.is_nodata(F.col("bands"), R.nodata_list([None, None, float("nan")], 64)).alias("nodata"))
+
+
+_FINE = R.Grid(10, 8, (2.5, 0.0, 0.0, 0.0, -2.5, 20.0), "EPSG:3857")
+
+
+@query("""SELECT CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, p.label FROM (SELECT y.t AS r, x.t AS c, CAST(floor((x.t + 0.5) * 2.5) AS INT) AS sc, CAST(floor((y.t + 0.5) * 2.5) AS INT) AS sr FROM range(10) x(t), range(8) y(t)) t
+LEFT JOIN (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(label + 1 AS INT) AS label FROM embeddings WHERE floor(vec_id / 25) < 20) p ON p.r = sr AND p.c = sc""")
+def nn_align(spark, sf_dir):
+    source = R.Grid(25, 20, (1.0, 0.0, 0.0, 0.0, -1.0, 20.0), "EPSG:3857")
+    return R.align(X.load(spark, sf_dir, "PIXELS").select("r", "c", "label").filter("r < 20"), source, _FINE)
+
+
+def _ring_sql() -> str:
+    rows = ", ".join(f"({f}, {l}, [{', '.join(f'{{x: {x}, y: {y}}}' for x, y in ring)}])" for f, l, ring in X.POLYGONS if l)
+    return f"(VALUES {rows}) p(fid, label, ring)"
+
+
+@query(f"""WITH px AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, vec_id % 25 + 0.5 AS x, floor(vec_id / 25) + 0.5 AS y FROM embeddings),
+e AS (SELECT fid, label, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM (SELECT fid, label, ring, unnest(range(1, len(ring))) AS i FROM {_ring_sql()}))
+SELECT fid, label, r, c FROM px, e GROUP BY fid, label, r, c HAVING sum(CASE WHEN (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) THEN 1 ELSE 0 END) % 2 = 1""")
+def rasterize_samples(spark, sf_dir):
+    import json
+
+    rows = [(f, label, json.dumps({"type": "Polygon", "coordinates": [ring]})) for f, label, ring in X.POLYGONS]
+    polygons = spark.createDataFrame(rows, "fid int, label int, geometry string")
+    pixels = X.load(spark, sf_dir, "PIXELS")
+    cells = R.rasterized(polygons, R.Grid(WIDTH, 200, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
+    return cells.join(pixels.select("r", "c"), ["r", "c"]).select("fid", "label", "r", "c")
+
+
+def _samples(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PIXELS")
+    best = R.argmax(F.slice("bands", 1, 10)) + 1
+    return p.select(F.col("vec_id").alias("ord"), "label", "r", "c", F.col("bands").alias("features"), F.col("vec_id").cast("string").alias("source_id"), F.col("label").alias("truth"), best.alias("pred"), "nodata")
+
+
+@query("SELECT ord, label FROM (SELECT vec_id AS ord, CAST(label + 1 AS INT) AS label, row_number() OVER (PARTITION BY label, floor(floor(vec_id / 25) / 4), floor((vec_id % 25) / 4) ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1")
+def grid_thin(spark, sf_dir):
+    return A.thin(_samples(spark, sf_dir), 4, F.col("ord")).select("ord", "label")
+
+
+@query("""WITH n AS (SELECT CAST(label + 1 AS INT) AS label, count(*) AS n FROM embeddings GROUP BY label), t AS (SELECT CAST(ceil(0.3 * sum(n)) AS BIGINT) AS t, sum(n) AS total FROM n),
+q AS (SELECT label, n, floor(n * t / total) AS low, n * t / total - floor(n * t / total) AS rest, t FROM n, t), k AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS place, sum(low) OVER () AS lows FROM q)
+SELECT label, CAST(n - low - CASE WHEN place <= t - lows THEN 1 ELSE 0 END AS BIGINT) AS train, CAST(low + CASE WHEN place <= t - lows THEN 1 ELSE 0 END AS BIGINT) AS test FROM k""")
+def split_counts(spark, sf_dir):
+    train, test = A.split(_samples(spark, sf_dir), 0.3)
+    a = train.groupBy("label").agg(F.count("*").alias("train"))
+    return a.join(test.groupBy("label").agg(F.count("*").alias("test")), "label")
+
+
+@query("""SELECT CAST(label + 1 AS INT) AS label, CAST(band AS INT) AS band, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std
+FROM (SELECT label, unnest(range(1, 65)) AS band, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label, band""")
+def class_band_stats(spark, sf_dir):
+    return A.class_band_stats(_samples(spark, sf_dir)).select("label", "band", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+_PRED = "SELECT CAST(label + 1 AS INT) AS truth, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) AS INT) AS pred, CAST(vec_id AS VARCHAR) AS source_id FROM embeddings"
+
+
+@query(f"WITH p AS ({_PRED}), t AS (SELECT CAST(t AS INT) AS truth FROM range(1, 12) t(t)) SELECT truth, " + ", ".join(f"count(CASE WHEN pred = {k} THEN 1 END) AS pred_{k}" for k in range(1, 12)) + " FROM t LEFT JOIN p USING (truth) GROUP BY truth")
+def confusion_matrix(spark, sf_dir):
+    return A.confusion(_samples(spark, sf_dir), range(1, 12))
+
+
+@query(f"WITH p AS ({_PRED}) SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM p")
+def accuracy(spark, sf_dir):
+    return A.accuracy(_samples(spark, sf_dir)).select(r6("accuracy").alias("accuracy"))
+
+
+@query(f"WITH p AS ({_PRED}) SELECT list(DISTINCT source_id ORDER BY source_id) AS source_ids FROM p WHERE truth <> pred")
+def misclassified(spark, sf_dir):
+    return A.misclassified(_samples(spark, sf_dir))
+
+
+def _probs(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PROBS")
+    return p.select("r", "c", F.array("p1", "p2", "p3", "p4").alias("p"), (~F.col("nodata")).alias("valid"))
+
+
+def _height(spark, sf_dir) -> int:
+    return int(spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0]) // WIDTH + 1
+
+
+_PROBS = f"WITH q AS ({X.sql('PROBS')}), l AS (SELECT r, c, nodata, [p1, p2, p3, p4] AS p FROM q)"
+
+
+@query(f"{_PROBS} SELECT r, c, CAST(CASE WHEN nodata THEN -1 ELSE list_position(p, list_max(p)) * 10 END AS INT) AS class FROM l")
+def prob_argmax(spark, sf_dir):
+    p = _probs(spark, sf_dir)
+    return R.class_raster(p, [10, 20, 30, 40], F.col("valid") & R.finite(F.col("p")))
+
+
+@query(f"{_PROBS}, k AS (SELECT r, c, CASE WHEN nodata THEN -1 ELSE list_position(p, list_max(p)) * 10 END AS k FROM l) SELECT r, c, " + ", ".join(f"CAST(k = {v} AS INT) AS class_{v}" for v in (10, 20, 30, 40)) + " FROM k")
+def binary_masks(spark, sf_dir):
+    p = _probs(spark, sf_dir)
+    return R.binary_masks(R.class_raster(p, [10, 20, 30, 40], F.col("valid")), [10, 20, 30, 40])
+
+
+def _icm_sql(rounds: int) -> str:
+    out = f"{_PROBS}, v AS (SELECT r, c, p FROM l WHERE NOT nodata), g0 AS (SELECT r, c, list_position(p, list_max(p)) - 1 AS label FROM v)"
+    for k in range(1, rounds + 1):
+        out += f""", n{k} AS (SELECT v.r, v.c, g.label, count(*) AS n FROM v JOIN g{k - 1} g ON abs(v.r - g.r) + abs(v.c - g.c) = 1 AND g.r BETWEEN v.r - 1 AND v.r + 1 GROUP BY ALL),
+e{k} AS (SELECT v.r, v.c, i, ln(p[i] + 1e-9) + coalesce(n.n, 0) AS e FROM (SELECT r, c, p, unnest(range(1, 5)) AS i FROM v) v LEFT JOIN n{k} n ON n.r = v.r AND n.c = v.c AND n.label = i - 1),
+g{k} AS (SELECT r, c, arg_max(i, (e, -i)) - 1 AS label FROM e{k} GROUP BY r, c)"""
+    return out + f" SELECT l.r, l.c, CAST(coalesce(g.label, -1) AS INT) AS label FROM l LEFT JOIN g{rounds} g ON g.r = l.r AND g.c = l.c"
+
+
+@query(_icm_sql(1))
+def icm_1(spark, sf_dir):
+    return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), rounds=1, shape=(8, 8))
+
+
+@query(_icm_sql(3))
+def icm_3(spark, sf_dir):
+    return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), rounds=3, shape=(8, 8))
+
+
+@query(f"""{_PROBS}, x AS (SELECT r, c, i, ln(q) - ln(1 - q) AS x, q FROM (SELECT r, c, i, greatest(1e-6, least(1 - 1e-6, p[i])) AS q FROM (SELECT r, c, p, unnest(range(1, 5)) AS i FROM l WHERE NOT nodata))),
+w AS (SELECT a.r, a.c, a.i, a.x AS own, b.x, row_number() OVER (PARTITION BY a.r, a.c, a.i ORDER BY b.x DESC, b.r, b.c) AS n, count(*) OVER (PARTITION BY a.r, a.c, a.i) AS m
+  FROM x a JOIN x b ON a.i = b.i AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1),
+s AS (SELECT r, c, i, any_value(own) AS own, avg(x) AS mean, coalesce(var_samp(x), 0) AS var FROM w WHERE n <= greatest(1, ceil(0.5 * m)) GROUP BY r, c, i)
+SELECT r, c, CAST(i AS INT) AS k, round(1 / (1 + exp(-(var / (var + 20) * own + 20 / (var + 20) * mean))), 6) + 0.0 AS p FROM s""")
+def bayes_smooth(spark, sf_dir):
+    out = M.bayes_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), 4, window=3, fraction=0.5, smoothness=20.0, shape=(8, 8))
+    return out.select("r", "c", F.posexplode("p").alias("k", "p")).filter(~F.isnan("p")).select("r", "c", (F.col("k") + 1).cast("int").alias("k"), r6("p").alias("p"))
+
+
+@query("""WITH px AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST((SELECT max(vec_id) FROM embeddings) // 25 + 1 AS INT) AS h FROM embeddings),
+b AS (SELECT DISTINCT CAST(i AS INT) AS br, CAST(j AS INT) AS bc, greatest(0, i * 8 - 2) AS r0, greatest(0, j * 7 - 2) AS c0, least(8, h - i * 8) AS bh, least(7, 25 - j * 7) AS bw, h FROM (SELECT DISTINCT h FROM px), range(0, 200) a(i), range(0, 4) d(j) WHERE i * 8 < h)
+SELECT br, bc, count(*) AS n, CAST(count(*) FILTER (WHERE r // 8 = br AND c // 7 = bc) AS BIGINT) AS own FROM px JOIN b ON r >= r0 AND r < least(r0 + bh + 4, b.h) AND c >= c0 AND c < least(c0 + bw + 4, 25) GROUP BY br, bc""")
+def block_halo(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PIXELS").select("r", "c")
+    return R.blocks(p, WIDTH, _height(spark, sf_dir), (8, 7), 2).groupBy("br", "bc").agg(F.count("*").alias("n"), F.count_if("inside").alias("own"))
+
+
+@query("""WITH px AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, label + 1 = 3 AS f FROM embeddings)
+SELECT a.r, a.c, round(CAST(CAST(min(sqrt(pow((a.r - b.r) * 10.0, 2) + pow((a.c - b.c) * 10.0, 2))) AS FLOAT) AS DOUBLE), 4) + 0.0 AS distance FROM px a, px b WHERE b.f GROUP BY a.r, a.c""")
+def distance_surface(spark, sf_dir):
+    p = X.load(spark, sf_dir, "PIXELS")
+    grid = R.Grid(WIDTH, _height(spark, sf_dir), (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), "EPSG:32633")
+    return R.distance(p.filter("label = 3"), grid).select("r", "c", (F.round("distance", 4) + 0.0).alias("distance"))
+
+
+@query(f"""{_STRIPS}, m AS (SELECT strip, r, c, CASE WHEN udm = 1 THEN red ELSE 0 END AS red FROM p), b AS (SELECT strip, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM m GROUP BY strip),
+w AS (SELECT m.r, m.c, red, least(m.r - r0, r1 - m.r, m.c - c0, c1 - m.c) + 1 AS w FROM m JOIN b USING (strip) WHERE red <> 0)
+SELECT r, c, round(sum(w * red) / sum(w), 6) + 0.0 AS red, count(*) AS strips FROM w GROUP BY r, c""")
+def mosaic_blend(spark, sf_dir):
+    from .plans import mosaic
+
+    pixels = R.masked(X.load(spark, sf_dir, "STRIPS"), ["red"]).select("strip", "r", "c", "red")
+    return mosaic.blend(pixels, ["red"]).select("r", "c", r6("red").alias("red"), "strips")
+
+
+@query()
+def rf_predict(spark, sf_dir):
+    from .plans import classify
+
+    rows = _samples(spark, sf_dir)
+    train, test = A.split(rows, 0.3)
+    model = classify.fit(train, trees=20, depth=8)
+    return classify.predicted(test.select("r", "c", F.col("features").alias("bands")), model)
