@@ -249,46 +249,73 @@ def metrics_path(path: str) -> str:
     return os.path.splitext(path)[0] + "_metrics.txt"
 
 
-def layout(labels: Sequence, matrix: np.ndarray) -> list[str]:
-    """A confusion matrix as lines of text, columns as wide as their widest entry."""
-    cells = [["", *map(str, labels)], *([str(label), *map(str, row)] for label, row in zip(labels, matrix.tolist(), strict=True))]
-    width = max(len(x) for row in cells for x in row)
-    return ["  ".join(x.rjust(width) for x in row) for row in cells]
+def layout(labels: Sequence, matrix: np.ndarray) -> str:
+    """A confusion matrix as text: every entry as wide as the widest label or number."""
+    cells = [[*map(str, labels)], *(list(map(str, row)) for row in matrix.tolist())]
+    width = max([1, *(len(x) for row in cells for x in row)])
+    side = ["", *map(str, labels)]
+    return "\n".join(" ".join(x.rjust(width) for x in [name, *row]) for name, row in zip(side, cells, strict=True))
 
 
 def report(spark: SparkSession, model: PipelineModel, meta: dict, model_path: str, raster: DataFrame, grid: R.Grid, smooth: str, path: str) -> None:
-    """Held-out accuracy, confusion matrix, wrong sources and importances; after smoothing also those of the smoothed raster, where it is
-    on the samples' grid."""
+    """Held-out accuracy, confusion matrix, wrong sources, importances and band statistics as text; after smoothing also what the
+    smoothed raster says at the samples, if it is on their grid."""
     held = spark.read.parquet(os.path.join(model_path, "holdout"))
     labels = [int(v) if float(v).is_integer() else v for v in meta["classes"]]
     names = {int(k): v for k, v in meta["names"].items()}
+    shown = [str(names.get(v, v)) for v in labels]
     rows = held.select(F.col("ord").cast("long").alias("r"), F.lit(0).alias("c"), F.col("features").alias("bands"))
     pred = held.join(predicted(rows, model).select(F.col("r").alias("ord"), "class"), "ord").select(F.col("label").alias("truth"), F.col("class").cast("int").alias("pred"), "source_id").cache()
-    lines = _section("Hold-out metrics", pred, labels, names)
+    accuracy, matrix, wrong = _measured(pred, labels)
+    thinned = meta.get("grid_size")
+    lines = [
+        f"Holdout samples: {pred.count()}",
+        f"Raw accuracy: {accuracy:.3f}",
+        f"Training grid sampling: {thinned} px per cell." if thinned else "Training grid sampling: none.",
+        "",
+        "Raw confusion matrix (rows=true, cols=pred):",
+        layout(shown, matrix),
+        "",
+        f"Misclassified validation IDs (raw): {', '.join(wrong) or 'none'}",
+        "",
+        f"Smoothing mode: {smooth}",
+    ]
+    on_grid = (meta["width"], meta["height"], meta["crs"]) == (grid.width, grid.height, grid.crs) and np.allclose(meta["transform"], grid.transform)
+    pairs = lost = None
+    if smooth != "none" and on_grid:
+        pairs, lost = A.at_samples(held, raster.select("r", "c", F.col("class").cast("int").alias("class")), grid.width, grid.height)
+    if pairs is None or not pairs.limit(1).count():
+        note = None if smooth == "none" else "raster grid differs from the training grid." if not on_grid else "no sample lies on a class."
+        lines += ["Smoothed accuracy: unavailable.", *([f"Smoothed metrics note: {note}"] if note else []), "", "Smoothed confusion matrix: unavailable."]
+    else:
+        accuracy, matrix, wrong = _measured(pairs, labels)
+        lines += [f"Smoothed accuracy: {accuracy:.3f}", "", "Smoothed confusion matrix (rows=true, cols=pred):", layout(shown, matrix)]
+        n = lost.first()
+        if n["outside"] or n["nodata"]:
+            lines.append(f"Dropped {n['outside'] + n['nodata']} holdout samples outside raster or on nodata.")
+        lines += ["", f"Misclassified validation IDs (smoothed): {', '.join(wrong) or 'none'}"]
     importances = model.stages[1].featureImportances.toArray()
     bands = meta["bands"] or list(range(1, len(importances) + 1))
-    lines += ["", "Feature importances", *(f"band {bands[k]}: {importances[k]:.6f}" for k in np.argsort(-importances, kind="stable"))]
-    if smooth != "none":
-        same = (meta["width"], meta["height"], meta["crs"]) == (grid.width, grid.height, grid.crs) and np.allclose(meta["transform"], grid.transform)
-        if same:
-            pairs, lost = A.at_samples(held, raster.select("r", "c", F.col("class").cast("int").alias("class")), grid.width, grid.height)
-            n = lost.first()
-            lines += ["", *_section("Smoothed hold-out metrics", pairs, labels, names), f"dropped: {n['outside']} outside, {n['nodata']} nodata"]
-        else:
-            lines += ["", "Smoothed hold-out metrics", "unavailable: the raster is not on the samples' grid"]
+    lines += ["", "Band importance (sorted):", *(f"band {bands[k]}: {importances[k]:.6f}" for k in np.argsort(-importances, kind="stable"))]
+    stats: dict[int, list] = {}
+    for r in spark.read.parquet(os.path.join(model_path, "band_stats")).orderBy("label", "band").collect():  # a row for each class and band
+        stats.setdefault(r["label"], []).append(r)
+    lines += ["", "Per-class band stats (train):"]
+    for label, name in zip(labels, shown, strict=True):
+        own = stats.get(label, [])
+        lines.append(f"class {name} (n={own[0]['n'] if own else 0}):")
+        value = lambda x: float("nan") if x is None else x
+        lines += [f"band {bands[r['band'] - 1]}: mean={value(r['mean']):.6f} std={value(r['std']):.6f}" for r in own] or [f"band {b}: mean=nan std=nan" for b in bands]
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         out.write("\n".join(lines) + "\n")
     pred.unpersist()
 
 
-def _section(title: str, pairs: DataFrame, labels: list, names: dict[int, str]) -> list[str]:
-    n = A.accuracy(pairs).first()["accuracy"]
-    found = {r["truth"]: r for r in A.confusion(pairs, labels).collect()}
+def _measured(pairs: DataFrame, labels: list) -> tuple[float, np.ndarray, list[str]]:
+    found = {r["truth"]: r for r in A.confusion(pairs, labels).collect()}  # a row for each class
     matrix = np.array([[found[t][f"pred_{p}"] for p in labels] for t in labels])
-    wrong = A.misclassified(pairs).first()["source_ids"]
-    shown = [names.get(v, v) for v in labels]
-    return [title, f"accuracy: {n:.6f}" if n is not None else "accuracy: unavailable", "confusion matrix (rows: true, columns: predicted)", *layout(shown, matrix), "misclassified: " + (", ".join(wrong) or "none")]
+    return A.accuracy(pairs).first()["accuracy"] or 0.0, matrix, A.misclassified(pairs).first()["source_ids"]
 
 
 def distance_to_vector(vector_path: str, template_path: str, output_path: str, backend: str = "cpu", *, spark: SparkSession) -> str:

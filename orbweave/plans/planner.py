@@ -321,8 +321,9 @@ def write_plan(plan: dict, path: str) -> None:
 
 def summary(plan: dict) -> str:
     """A line for each month, in order."""
-    lines = [f"{'Month':<10}{'Candidates':>12}{'Filtered':>10}{'Selected':>10}{'Coverage':>10}{'MinClearObs':>13}"]
+    head = "Month     Candidates  Filtered  Selected  Coverage  MinClearObs"
+    lines = [head, "-" * len(head)]
     for month in sorted(plan):
         p = plan[month]
-        lines.append(f"{month:<10}{p['candidate_count']:>12}{p['filtered_count']:>10}{p['selected_count']:>10}{p['aoi_coverage']:>10.3f}{p['min_clear_obs']:>13}")
+        lines.append("  ".join([f"{month:8}", f"{p['candidate_count']:10d}", f"{p['filtered_count']:8d}", f"{p['selected_count']:8d}", f"{p['aoi_coverage']:8.3f}", f"{p['min_clear_obs']:11.1f}"]))
     return "\n".join(lines)
