@@ -94,8 +94,11 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     verify(chunk_store(df, text))
     found = materialise(recipes(df, doc_id, text), "recipes")
     groups = found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Rows find their group by the recipe's digest: short, and dealt out anew, so that a hot group's rows can be split.
+    groups = groups.select(F.unhex(F.sha2("recipe", 256)).alias("digest"), F.col("recipe").alias("own"), "keep_id", "group_size")
+    rows = found.withColumn("digest", F.unhex(F.sha2("recipe", 256)))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return found.join(groups, "recipe").select("doc_id", "keep_id", "group_size", kept, "text_sha256", "n_chunks", "n_bytes")
+    return rows.join(groups, "digest").filter(F.col("recipe") == F.col("own")).select("doc_id", "keep_id", "group_size", kept, "text_sha256", "n_chunks", "n_bytes")
 
 
 def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
