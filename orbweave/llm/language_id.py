@@ -78,7 +78,9 @@ class Trigrams:
     def bundles(self, group: np.ndarray, n: int) -> np.ndarray:
         """For each of n groups of texts the sum of its trigrams' vectors; group: of each text, -1 for none."""
         out = np.zeros((n, DIM), np.float64)
-        width = max(1, len(self.codes))
+        if not len(self.of):
+            return out
+        width = len(self.codes)
         step = max(1, CELLS // min(width, COLUMNS))
         mine = group[self.of]
         order = np.argsort(mine, kind="stable") if np.any(mine[1:] < mine[:-1]) else slice(None)
