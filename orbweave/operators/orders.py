@@ -57,3 +57,37 @@ def crs_choice(meta: DataFrame, slack: int = 0) -> DataFrame:
     mean = meta.agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"))
     near = meta.join(top, "label").crossJoin(F.broadcast(mean)).groupBy("label").agg(F.min(F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)).alias("d2"))
     return near.agg(F.min(F.struct(F.round("d2", 6).alias("r"), "label", "d2")).alias("b")).select("b.label", "b.d2")
+
+
+def item_metadata(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Items (id, props, assets) with what the catalog (item_id, props, assets) knows of them: a property of the item that isn't empty wins, and
+    the sets of assets are joined. Items that the catalog lacks stay as they are."""
+    known = catalog.select(F.col("item_id").alias("id"), F.col("props").alias("_p"), F.col("assets").alias("_a")).dropDuplicates(["id"])
+    joined = items.join(known, "id", "left")
+    own = F.map_filter(F.coalesce("props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: v.isNotNull() & (v != ""))
+    other = F.map_filter(F.coalesce("_p", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.map_contains_key(own, k))
+    none = F.array().cast("array<string>")
+    return joined.withColumn("props", F.map_concat(own, other)).withColumn("assets", F.sort_array(F.array_union(F.coalesce("assets", none), F.coalesce("_a", none)))).drop("_p", "_a")
+
+
+def missing_assets(assets: Column, sr_bands: int) -> Column:
+    """Which of the bundle's assets an item lacks; an item without any known asset lacks none."""
+    if sr_bands not in ASSETS:
+        raise ValueError("sr_bands must be 4 or 8.")
+    wanted = F.array(*map(F.lit, ASSETS[sr_bands]))
+    return F.when(F.size(F.coalesce(assets, F.array().cast("array<string>"))) > 0, F.array_except(wanted, assets)).otherwise(F.array().cast("array<string>"))
+
+
+def requests(batched: DataFrame, by: str, prefix: str, product: str, archive_type: str | None = "zip", single_archive: bool = True) -> DataFrame:
+    """A request document for each batch: the group, batch, name, and request as JSON text."""
+    rows = batched.groupBy(by, "batch").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("items"))  # at most MAX_ITEMS
+    name = batch_name(F.concat(F.lit(f"{prefix}_"), F.col(by)), F.col("batch"))
+    item = F.struct(F.transform("items", lambda x: x["id"]).alias("item_ids"), F.lit("PSScene").alias("item_type"), F.lit(product).alias("product_bundle"))
+    parts = []
+    if archive_type:
+        kind = archive_type.lower()
+        parts = [F.lit(kind).alias("archive_type"), F.lit(single_archive).alias("single_archive")]
+        if kind == "zip":
+            parts.append(F.when(F.lower(name).endswith(".zip"), name).otherwise(F.concat(name, F.lit(".zip"))).alias("archive_filename"))
+    document = F.struct(name.alias("name"), F.lit("scenes").alias("source_type"), F.array(item).alias("products"), *([F.struct(*parts).alias("delivery")] if parts else []))
+    return rows.select(by, "batch", name.alias("name"), F.to_json(document).alias("request"))

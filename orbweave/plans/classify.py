@@ -148,6 +148,18 @@ def _points(samples: DataFrame, model: PipelineModel, grid: R.Grid) -> DataFrame
     return own.join(predicted(rows, model).select(F.col("r").alias("ord"), F.col("class").alias("pred")), "ord").select("ord", F.col("label").alias("truth"), "pred", "source_id", x.alias("x"), y.alias("y"))
 
 
+def export_points(spark: SparkSession, model_out: str, crs: str) -> list[str]:
+    """The training and held-out points as GeoPackage layers beside the model: <model>_train_points.gpkg and <model>_val_points.gpkg."""
+    out = []
+    for part in ("train", "val"):
+        folder = os.path.join(model_out, f"points_{part}")
+        if os.path.isdir(folder):
+            rows = [(r["x"], r["y"], {"truth": r["truth"], "pred": int(r["pred"]), "source_id": r["source_id"]}) for r in spark.read.parquet(folder).orderBy("ord").collect()]  # one file, on the driver
+            vector.write_geopackage(f"{model_out.rstrip('/')}_{part}_points.gpkg", rows, int(crs.split(":")[1]))
+            out.append(f"{model_out.rstrip('/')}_{part}_points.gpkg")
+    return out
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()["value"])
     return PipelineModel.load(os.path.join(path, "model")), meta

@@ -446,6 +446,53 @@ def mosaic_blend(spark, sf_dir):
     return mosaic.blend(pixels, ["red"]).select("r", "c", r6("red").alias("red"), "strips")
 
 
+@query(f"""WITH i AS ({X.sql('ITEMS')}), n AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY ord) - 1 AS p FROM i), b AS (SELECT period, CAST(p // 500 + 1 AS BIGINT) AS batch, list(id ORDER BY ord) AS ids FROM n GROUP BY ALL),
+m AS (SELECT *, 'plan_' || period || CASE WHEN batch = 1 THEN '' ELSE '_' || CAST(batch AS VARCHAR) END AS name FROM b)
+SELECT period, batch, name, '{{"name":"' || name || '","source_type":"scenes","products":[{{"item_ids":["' || array_to_string(ids, '","') || '"],"item_type":"PSScene","product_bundle":"analytic_sr_udm2"}}],"delivery":{{"archive_type":"zip","single_archive":true,"archive_filename":"' || name || '.zip"}}}}' AS request FROM m""")
+def order_requests(spark, sf_dir):
+    return O.requests(O.batches(X.load(spark, sf_dir, "ITEMS"), "period"), "period", "plan", O.BUNDLES[4])
+
+
+@query(f"""WITH i AS (SELECT o_orderkey AS k, 'scene-' || CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'own' END AS gsd FROM orders), f AS ({X.sql('SCENES')})
+SELECT i.id, coalesce(nullif(i.gsd, ''), CASE WHEN f.item_id IS NOT NULL THEN 'known' END) AS gsd, f.constellation,
+  CASE WHEN f.item_id IS NULL THEN ['ortho_udm2'] ELSE ['ortho_analytic_4b_sr', 'ortho_udm2'] END AS assets, CASE WHEN f.item_id IS NULL THEN ['ortho_analytic_4b_sr'] ELSE CAST([] AS VARCHAR[]) END AS missing FROM i LEFT JOIN f ON f.item_id = i.id""")
+def item_metadata_join(spark, sf_dir):
+    key = F.col("o_orderkey")
+    items = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("scene-"), key.cast("string")).alias("id"), F.create_map(F.lit("gsd"), F.when(key % 3 == 0, "").when(key % 3 == 1, "own")).alias("props"), F.array(F.lit("ortho_udm2")).alias("assets"))
+    catalog = X.load(spark, sf_dir, "SCENES").select("item_id", F.create_map(F.lit("gsd"), F.lit("known"), F.lit("constellation"), F.col("constellation")).alias("props"), F.array(F.lit("ortho_analytic_4b_sr"), F.lit("ortho_udm2")).alias("assets"))
+    out = O.item_metadata(items, catalog)
+    return out.select("id", F.col("props")["gsd"].alias("gsd"), F.col("props")["constellation"].alias("constellation"), "assets", O.missing_assets(F.col("assets"), 4).alias("missing"))
+
+
+@query(f"""WITH f AS ({X.sql('SCENES')}), n AS (SELECT month, item_id, row_number() OVER (PARTITION BY month ORDER BY ord) AS n FROM f WHERE sun_elevation >= 30 AND cloud_cover <= 0.5 AND instrument IN ('PS2', 'PSB.SD') AND xmin <= 6000 AND ymin <= 4000)
+SELECT month, item_id FROM n WHERE n <= 100""")
+def catalog_search(spark, sf_dir):
+    from datetime import date
+
+    found = X.load(spark, sf_dir, "SCENES").withColumn("acquired", F.to_date(F.concat("month", F.lit("-15"))))
+    square = F.format_string('{"type":"Polygon","coordinates":[[[%f,%f],[%f,%f],[%f,%f],[%f,%f],[%f,%f]]]}', *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax", "xmin", "ymax", "xmin", "ymin")])
+    catalog = found.drop("month").withColumn("geometry", square)
+    return planner.search(catalog, geo.box(-1e6, -1e6, 6000.0, 4000.0), date(2024, 1, 1), date(2024, 3, 31), [], 30.0, 0.5, None, ["PS2", "PSB.SD"], 100).select("month", "item_id")
+
+
+@query(f"""{_PROBS}, k AS (SELECT r, c, CASE WHEN nodata THEN -1 ELSE list_position(p, list_max(p)) END AS class FROM l),
+s AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) + CASE WHEN vec_id % 50 = 0 THEN 30 ELSE 0 END AS c, CAST(label % 4 + 1 AS INT) AS truth FROM embeddings WHERE vec_id % 3 = 0)
+SELECT count(*) FILTER (WHERE s.c < 25 AND class <> -1) AS n, count(*) FILTER (WHERE s.c < 25 AND class = truth) AS hits, count(*) FILTER (WHERE s.c >= 25) AS outside, count(*) FILTER (WHERE s.c < 25 AND class = -1) AS nodata FROM s LEFT JOIN k USING (r, c)""")
+def holdout_on_raster(spark, sf_dir):
+    p = _probs(spark, sf_dir)
+    raster = R.class_raster(p, [1, 2, 3, 4], F.col("valid"))
+    v = F.col("vec_id")
+    rows = X.load(spark, sf_dir, "PIXELS").filter(v % 3 == 0).select("r", (F.col("c") + F.when(v % 50 == 0, 30).otherwise(0)).cast("int").alias("c"), ((F.col("label") - 1) % 4 + 1).cast("int").alias("label"), v.cast("string").alias("source_id"))
+    pairs, lost = A.at_samples(rows, raster, WIDTH, _height(spark, sf_dir))
+    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("pred")).alias("hits")).crossJoin(lost)  # one row each
+
+
+@query(f"""WITH m AS ({X.sql('STRIP_META')}) SELECT ord, round(CAST({C.A!r} AS DOUBLE) * radians(lon), 4) + 0.0 AS x, round(CAST({C.A!r} AS DOUBLE) * ln(tan(pi() / 4 + radians(lat) / 2)), 4) + 0.0 AS y FROM m""")
+def project_3857(spark, sf_dir):
+    x, y = C.to_3857(F.col("lon"), F.col("lat"))
+    return X.load(spark, sf_dir, "STRIP_META").select("ord", (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y"))
+
+
 @query()
 def rf_predict(spark, sf_dir):
     from .plans import classify

@@ -157,6 +157,8 @@ def test_train_predict_smooth(spark, scene):
     assert out.endswith("out.tif")
     got, h = files.read_array(out)
     assert h.dtype == "i2" and h.grid.nodata == (-1.0,) and (got[..., 0] == truth).mean() > 0.98
+    layers = classify.export_points(spark, str(tmp / "model"), "EPSG:32633")
+    assert [len(vector.features(p)[0]) > 20 for p in layers] == [True, True]
     one, _ = files.read_array(str(tmp / "bin/class_1.tif"))
     assert np.array_equal(one[..., 0], (got[..., 0] == 1).astype("uint8"))
     text = (tmp / "out_metrics.txt").read_text()
