@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -52,15 +52,11 @@ def tile_grid(spark: SparkSession, area: geo.Geometry, size: float) -> DataFrame
     touched = cells(spark, grid).filter(geo.touches_box(area)("xmin", "ymin", "xmax", "ymax"))
     if not touched.limit(1).count():
         touched = spark.createDataFrame([(0, 0, 0, xmin, ymin, xmax, ymax)], "id long, tx int, ty int, xmin double, ymin double, xmax double, ymax double")
-    # Numbers without one window over all tiles: counts of each column of tiles come first.
-    before = touched.groupBy("tx").agg(F.count("*").alias("n"))
-    sums = before.join(before.select(F.col("tx").alias("t"), F.col("n").alias("m")), F.col("t") < F.col("tx"), "left").groupBy("tx").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before")) if grid.nx <= 4096 else None
-    from pyspark.sql import Window
-
+    # Numbers without a window over all tiles: those of the columns of tiles before, then the place in the column.
+    counts = touched.groupBy("tx").agg(F.count("*").alias("n"))
+    before = counts.select("tx", (F.sum("n").over(Window.orderBy("tx")) - F.col("n")).alias("before"))  # a row for each column of tiles
     own = F.row_number().over(Window.partitionBy("tx").orderBy("ty")) - 1
-    if sums is None:
-        sums = before.select("tx", (F.sum("n").over(Window.orderBy("tx")) - F.col("n")).alias("before"))
-    return touched.withColumn("own", own).join(sums, "tx").select((F.col("before") + F.col("own")).cast("int").alias("tile_id"), "tx", "ty", "xmin", "ymin", "xmax", "ymax")
+    return touched.withColumn("own", own).join(before, "tx").select((F.col("before") + F.col("own")).cast("int").alias("tile_id"), "tx", "ty", "xmin", "ymin", "xmax", "ymax")
 
 
 def _span(low: Column, high: Column, origin: float, size: float, n: int) -> Column:
