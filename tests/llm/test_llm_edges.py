@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import LONG, SHARED, TEXTS
+from edge_rows import LONG, SHARED, TEXTS
 
 from orbweave.llm import byte_bpe, decontamination, exact_dedup, language_id, near_dedup, pii, quality, sharding, substring_dedup, url_filter
 
