@@ -3,8 +3,8 @@
 A text is the set of its five-word shingles, and texts with one set are one class. Each class has TREES labels of DEPTH
 minhashes. In each tree a label's prefix leads to a bucket of the sorted prefix trie; the prefix is shortened from DEPTH until
 two texts at the threshold share a bucket in some tree with probability RECALL. Inside a bucket, members are
-walked in the order of their labels, and joined where the estimate from all minhashes is within SLACK of the threshold; the
-joined ones form candidate components. In a component all pairs are then verified by their exact sets, as a sparse matrix
+reached from one another, breadth first, where the estimate from all minhashes is within SLACK of the threshold; those
+that are reached form candidate components. In a component all pairs are then verified by their exact sets, as a sparse matrix
 times itself, block by block; only each class's number of links and one edge towards its group leave the task, so no pair
 is ever a row.
 """
