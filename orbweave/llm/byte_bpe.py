@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, span_hashes, table, utf8
+from .common import blocks, bounded_batches, span_hashes, table, utf8
 
-STRETCH_BYTES = 32_000_000
+STRETCH_BYTES = 12_000_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The code points of the White_Space property.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -133,17 +133,18 @@ class Merges:
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and each word's number of ids."""
         length = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        symbol = self.single.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
         n = len(symbol)
-        word = np.repeat(np.arange(len(words)), length)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(length)
         after[ends[length > 0] - 1] = -1
         before[(ends - length)[length > 0]] = -1
         alive = np.ones(n, bool)
-        rank = np.full(n, -1, np.int64)
+        rank = np.full(n, -1, np.int32)
         has = np.flatnonzero(after >= 0)
         rank[has] = self.rank(symbol[has], symbol[after[has]])
+        del has
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -158,9 +159,10 @@ class Merges:
                     index[r] = [some]
                     heapq.heappush(heap, r)
 
-        some = np.flatnonzero(rank >= 0)
+        some = np.flatnonzero(rank >= 0).astype(np.int32)
         if len(some):
             enter(some, rank[some])
+        del some
         while heap:
             r = heapq.heappop(heap)
             found = index.pop(r)
@@ -309,6 +311,7 @@ def default_ranks() -> str:
 
 def _select(df: DataFrame, column: str, name: str) -> tuple[DataFrame, str]:
     """df with one column under the name the workers use, and the schema of its others."""
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.col(column).alias(name)), ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != column)
 
@@ -348,6 +351,7 @@ def digests(df: DataFrame, ranks: str | None = None, doc_id: str = "doc_id", tex
             ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ids, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), *[lists] * with_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import blocks, table, table64, utf8
+from .common import blocks, bounded_batches, table, table64, utf8
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 8192, 10
 
@@ -91,6 +91,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     if its group has no other. Rows that repeat both doc_id and text share one fate: all are kept or none, and
     kept_rows() leaves one of them. An empty table gives an empty result; other columns are not read.
     """
+    bounded_batches(df.sparkSession)
     verify(chunk_store(df, text))
     found = materialise(recipes(df, doc_id, text), "recipes")
     groups = found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, table
+from .common import blocks, bounded_batches, mix64, table
 
 DIM = 1024
-#: Trigrams, and numbers, that are handled at once.
-COLUMNS, CELLS = 8192, 4_000_000
+#: Bytes of text, trigrams, and numbers that are handled at once.
+BLOCK, COLUMNS, CELLS = 1_000_000, 8192, 2_000_000
 
 
 @functools.cache
@@ -60,7 +60,7 @@ class Trigrams:
         same = of[2:] == of[:-2]
         code = ((x[:-2] * k + x[1:-1]) * k + x[2:])[same]
         self.of = of[2:][same]
-        if k**3 <= 2 * CELLS:
+        if k**3 <= 4 * CELLS:
             there = np.zeros(k**3, bool)
             there[code] = True
             self.codes = np.flatnonzero(there)
@@ -109,12 +109,13 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             values, group = np.unique(np.array(block.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             for value, row in zip(values.tolist(), Trigrams(_texts(block)).bundles(group, len(values)), strict=True):
                 sums[value] = sums.get(value, 0) + row
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([np.rint(v).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInArrow(bundle, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
@@ -133,10 +134,11 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     """
     names = sorted(k for k, v in prototypes.items() if np.any(v))
     matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), DIM)
+    bounded_batches(df.sparkSession)
     own = f"_ow_text_{text}"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, own):
+        for block in blocks(batches, own, BLOCK):
             texts = [t or "" for t in block.column(own).to_pylist()]
             found = Trigrams(texts)
             n, langs, scores = len(texts), np.full(len(texts), "und", object), np.zeros(len(texts))

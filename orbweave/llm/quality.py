@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, span_hashes, table, utf8
+from .common import blocks, bounded_batches, span_hashes, table, utf8
 
 #: About so many positives, and so many unlabelled rows, are fitted: the bound of the sample.
 SAMPLE = 8_000
@@ -138,6 +138,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
     A null text counts as empty, and an empty text has a score like any other. Whole texts are read, of any length; rows that
     repeat get equal scores, and an empty table gives an empty one. A column called `to` is replaced.
     """
+    bounded_batches(df.sparkSession)
     own = "_ow_text"
     rows = df.drop(to).withColumn(own, F.col(text))
 
