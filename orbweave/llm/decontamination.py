@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
-A benchmark item of w words is held against every stretch of w words of a document. Each stretch and each item has a SimHash
+A benchmark item of w words is held against every stretch of w words of a document, and against the whole of a document that has
+fewer. Each stretch and each item has a SimHash
 of 64 bits, from its five-word shingles, each weighted by the letters of its words. An index of the items'
 fingerprints, cut into BLOCKS, lists each item under every block value within RADIUS // BLOCKS bits of its own; two fingerprints within
 RADIUS agree to that degree in one block at least, so no candidate within the radius is missed. Candidates are then
@@ -89,9 +90,10 @@ class Index:
         out: dict[int, tuple[float, int]] = {}
         sizes = [self.sizes[x] for x in h[hits].tolist()]
         for size in sorted(set().union(*sizes)):
-            span = size - shingle + 1  # shingles of a window
+            length = min(size, n_words)  # a text shorter than the item is one window
+            span = length - shingle + 1  # shingles of a window
             at = hits[[size in own for own in sizes]]
-            cover = np.zeros(max(0, n_words - size + 1) + 1, np.int64)  # the windows that hold a hit
+            cover = np.zeros(n_words - length + 2, np.int64)  # the windows that hold a hit
             np.add.at(cover, np.clip(at - span + 1, 0, len(cover) - 1), 1)
             np.add.at(cover, np.clip(at + 1, 0, len(cover) - 1), -1)
             starts = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
@@ -135,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     and the number of the word it starts at, by item_id.
 
     Words are runs without white space, in lower case. An item of fewer than `shingle` words, a null item and a null id find
-    nothing; a null or empty text has no hits, and a text shorter than an item none of that item. Whole texts are
+    nothing; a null or empty text has no hits, and a text shorter than an item is held against it as a whole. Whole texts are
     read; rows that repeat get equal results; an empty docs table gives an empty one, an empty benchmark no hits.
     Other columns stay as they are; a column called `to` is replaced.
     """

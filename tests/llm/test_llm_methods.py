@@ -221,6 +221,34 @@ def test_decontamination(spark):
     assert len(want) > 15 and 1.0 > min(want.values()) and got == pytest.approx(want)
 
 
+def test_a_text_shorter_than_the_item_is_one_window(spark):
+    rng = random.Random(11)
+    items = [(k, [f"{rng.choice(['ab', 'cde', 'f'])}{rng.randrange(400)}" for _ in range(n)]) for k, n in enumerate((9, 15, 38, 59, 90))]
+    docs = [(0, items[2][1][:-1]), (1, items[2][1][1:]), (2, items[2][1][:5]), (3, items[2][1][:4])]  # 37 of 38 words, twice; 5 and 4 of 38
+    for k in range(4, 124):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 12)):
+            if len(w) > 1:
+                w.pop(rng.choice([0, -1, rng.randrange(len(w))]))
+        docs.append((k, w))
+
+    def bag(w):
+        return Counter({g: n * sum(map(len, g)) for g, n in Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)).items()})
+
+    want = {}
+    for d, w in docs:
+        for i, q in items:
+            size = min(len(w), len(q))
+            value = max(sum((bag(w[s : s + size]) & bag(q)).values()) / sum((bag(w[s : s + size]) | bag(q)).values()) for s in range(len(w) - size + 1))
+            if value >= 0.8 - 1e-9:
+                want[d, i] = round(value, 6)
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} int, text string") for name, rows in (("doc_id", docs), ("item_id", items))]
+    rows = decontamination.contamination(*frames).collect()
+    got = {(r["doc_id"], h["item_id"]): h["similarity"] for r in rows for h in r["hits"]}
+    assert got == pytest.approx(want) and {(0, 2), (1, 2)} <= set(want) and not {(2, 2), (3, 2)} & set(want)
+    assert all(h["word"] == 0 for r in rows for h in r["hits"]) and sum(len(dict(docs)[d]) < len(items[i][1]) for d, i in want) > 15
+
+
 def test_several_indexes_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "INDEX_WORDS", 100)
     test_decontamination(spark)
