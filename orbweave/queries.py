@@ -295,14 +295,14 @@ def nodata_mask(spark, sf_dir):
     return p.select("r", "c", R.is_nodata(F.col("bands"), R.nodata_list([None, None, float("nan")], 64)).alias("nodata"))
 
 
-_FINE = R.Grid(10, 8, (2.5, 0.0, 0.0, 0.0, -2.5, 20.0), "EPSG:3857")
-
-
 @query("""SELECT CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, p.label FROM (SELECT y.t AS r, x.t AS c, CAST(floor((x.t + 0.5) * 2.5) AS INT) AS sc, CAST(floor((y.t + 0.5) * 2.5) AS INT) AS sr FROM range(10) x(t), range(8) y(t)) t
 LEFT JOIN (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(label + 1 AS INT) AS label FROM embeddings WHERE floor(vec_id / 25) < 20) p ON p.r = sr AND p.c = sc""")
 def nn_align(spark, sf_dir):
-    source = R.Grid(25, 20, (1.0, 0.0, 0.0, 0.0, -1.0, 20.0), "EPSG:3857")
-    return R.align(X.load(spark, sf_dir, "PIXELS").select("r", "c", "label").filter("r < 20"), source, _FINE)
+    """The whole raster on cells of 2.5; the SQL is that of a raster of 20 rows (sf0.001 and sf0.01) and knows no others."""
+    height = _height(spark, sf_dir)
+    source = R.Grid(WIDTH, height, (1.0, 0.0, 0.0, 0.0, -1.0, float(height)), "EPSG:3857")
+    coarse = R.Grid(WIDTH * 2 // 5, -(-height * 2 // 5), (2.5, 0.0, 0.0, 0.0, -2.5, float(height)), "EPSG:3857")
+    return R.align(X.load(spark, sf_dir, "PIXELS").select("r", "c", "label"), source, coarse)
 
 
 def _ring_sql() -> str:

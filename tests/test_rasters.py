@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orbweave import queries
 from orbweave.functions import crs as C
 from orbweave.functions import geo
 from orbweave.operators import raster as R
@@ -194,3 +195,13 @@ def test_common_coordinate_system(spark):
     with pytest.raises(ValueError):
         mosaic.target_crs(spark, [info("EPSG:32631", 5.0)], "nonsense")
     assert os.path.basename(mosaic.projection("x/y.tif", R.Grid(2, 2, (1, 0, 0, 0, -1, 0), "EPSG:4326")).path) == "y.tif"
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_nn_align_takes_in_every_row_of_the_raster(spark, size):
+    sf = f"/root/testdata/{size}"
+    label = {(int(v) // 25, int(v) % 25): int(k) + 1 for v, k in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    height = max(r for r, _ in label) + 1
+    want = {(r, c): label.get((int((r + 0.5) * 2.5), int((c + 0.5) * 2.5))) for r in range(-(-height * 2 // 5)) for c in range(10)}
+    rows = queries.QUERIES["nn_align"](spark, sf).collect()
+    assert len(rows) == len(want) == height * 4 and {(x["r"], x["c"]): x["label"] for x in rows} == want
