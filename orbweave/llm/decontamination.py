@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
 A benchmark item of w words is held against every stretch of w words of a document, and against the whole of a document that has
-fewer. Each stretch and each item has a SimHash
+fewer. An item of fewer than five words is one shingle of all of them. Each stretch and each item has a SimHash
 of 64 bits, from its five-word shingles, each weighted by the letters of its words. An index of the items'
 fingerprints, cut into BLOCKS, lists each item under every block value within RADIUS // BLOCKS bits of its own; two fingerprints within
 RADIUS agree to that degree in one block at least, so no candidate within the radius is missed. Candidates are then
@@ -115,29 +115,34 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame, item_id: str, text: str, shingle: int) -> Iterator[Index]:
-    """Indexes over all items, each within INDEX_WORDS and one item more: the driver and a task hold one at a time."""
+def _indexes(benchmark: DataFrame, item_id: str, text: str, shingle: int) -> Iterator[tuple[int, Index]]:
+    """Indexes over all items, each with the words of its shingles: items of fewer than `shingle` words have one shingle of all
+    their words. Those yielded together are within INDEX_WORDS and one item more: the driver holds so many, a task one at a time."""
     rows = benchmark.select(F.col(item_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("i IS NOT NULL").distinct().orderBy("i", "t")
-    some, size = [], 0
+    some: dict[int, list[tuple]] = {}
+    size = 0
     for row in rows.toLocalIterator():
-        words, h, weight = _hashes(pa.array([row["t"]], pa.string()), shingle)
+        column = pa.array([row["t"]], pa.string())
+        words, h, weight = _hashes(column, shingle)
         n = int(words.count[0])
-        if n >= shingle:
-            some.append((row["i"], n, h[: n - shingle + 1], weight[: n - shingle + 1]))
+        if 0 < n < shingle:
+            words, h, weight = _hashes(column, n)
+        if n:
+            own = min(n, shingle)
+            some.setdefault(own, []).append((row["i"], n, h[: n - own + 1], weight[: n - own + 1]))
             size += n
         if size >= INDEX_WORDS:
-            yield Index(some)
-            some, size = [], 0
-    if some:
-        yield Index(some)
+            yield from ((own, Index(items)) for own, items in sorted(some.items()))
+            some, size = {}, 0
+    yield from ((own, Index(items)) for own, items in sorted(some.items()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, text: str = "text", item_id: str = "item_id", to: str = "hits") -> DataFrame:
     """docs with one more column, hits: for each benchmark item found in text (item_id, similarity, word), the best window's similarity
     and the number of the word it starts at, by item_id.
 
-    Words are runs without white space, in lower case. An item of fewer than `shingle` words, a null item and a null id find
-    nothing; a null or empty text has no hits, and a text shorter than an item is held against it as a whole. Whole texts are
+    Words are runs without white space, in lower case. An item of fewer than `shingle` words is found where all its words stand
+    in a row (similarity 1). An item without words, a null item and a null id find nothing; a null or empty text has no hits, and a text shorter than an item is held against it as a whole. Whole texts are
     read; rows that repeat get equal results; an empty docs table gives an empty one, an empty benchmark no hits.
     Other columns stay as they are; a column called `to` is replaced.
     """
@@ -147,22 +152,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     hit = f"array<struct<item_id:{kind},similarity:double,word:int>>"
     out = docs.drop(to).withColumn(to, F.array().cast(hit)).withColumn(own, F.col(text))
     arrow = pa.list_(pa.struct([("item_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("similarity", pa.float64()), ("word", pa.int32())]))
-    for index in _indexes(benchmark, item_id, "text", shingle):
+    for length, index in _indexes(benchmark, item_id, "text", shingle):
         at = out.columns.index(to)
 
-        def look(batches: Iterator[pa.RecordBatch], index: Index = index, at: int = at) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], index: Index = index, length: int = length, at: int = at) -> Iterator[pa.RecordBatch]:
             table_bits = np.zeros(1 << 24, bool)  # most shingles are no item's: one look tells
             table_bits[(index.known >> np.uint64(40)).astype(np.int64)] = True
             for block in blocks(batches, own):
-                words, h, weight = _hashes(block.column(own), shingle)
+                words, h, weight = _hashes(block.column(own), length)
                 some = np.flatnonzero(words.whole & table_bits[(h >> np.uint64(40)).astype(np.int64)])
                 some = some[np.isin(h[some], index.known)]
                 hits = block.column(to).to_pylist()
                 edges = np.searchsorted(some, words.first)
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     a, n = int(words.first[k]), int(words.count[k])
-                    end = a + n - shingle + 1
-                    found = index.search(h[a:end], weight[a:end], some[edges[k] : edges[k + 1]] - a, n, shingle, threshold)
+                    end = a + n - length + 1
+                    places = some[edges[k] : edges[k + 1]] - a
+                    if length < shingle:  # windows of one shingle: the first of equal ones tells
+                        places = places[np.sort(np.unique(h[a + places], return_index=True)[1])]
+                    found = index.search(h[a:end], weight[a:end], places, n, length, threshold)
                     new = [{"item_id": index.ids[i], "similarity": round(v, 6), "word": s} for i, (v, s) in found.items()]
                     hits[k] = sorted(hits[k] + new, key=lambda x: x["item_id"])
                 columns = list(block.columns)

@@ -249,6 +249,24 @@ def test_a_text_shorter_than_the_item_is_one_window(spark):
     assert all(h["word"] == 0 for r in rows for h in r["hits"]) and sum(len(dict(docs)[d]) < len(items[i][1]) for d, i in want) > 15
 
 
+def test_items_of_one_to_four_words_are_found_word_for_word(spark):
+    rng = random.Random(13)
+    items = [(1, "a"), (2, "B c"), (3, "a b c"), (4, "c c a b"), (5, ""), (6, "a b c d e"), (7, "zz"), (8, "c c")]
+    docs = [(k, rng.choice([" ", "\n "]).join(rng.choice("abcABCd") for _ in range(rng.randint(0, 9)))) for k in range(60)] + [(60, "x b"), (61, "c y"), (62, "ab bc")]
+    want = {}
+    for d, text in docs:
+        w = text.lower().split()
+        for i, item in items:
+            q = item.lower().split()
+            at = [s for s in range(len(w) - len(q) + 1) if w[s : s + len(q)] == q] if 0 < len(q) < 5 else []
+            if at:
+                want[d, i] = (1.0, at[0])
+    rows = decontamination.contamination(spark.createDataFrame(docs, "doc_id int, text string").repartition(2), spark.createDataFrame(items, "item_id int, text string")).collect()
+    got = {(r["doc_id"], h["item_id"]): (h["similarity"], h["word"]) for r in rows for h in r["hits"] if h["item_id"] != 6}
+    assert got == want and {i for _, i in want} == {1, 2, 3, 4, 8}
+    assert all([h["item_id"] for h in r["hits"]] == sorted(h["item_id"] for h in r["hits"]) for r in rows)
+
+
 def test_several_indexes_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "INDEX_WORDS", 100)
     test_decontamination(spark)
