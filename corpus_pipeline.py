@@ -17,9 +17,10 @@ from orbweave.session import materialise
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects a text without a letter, null and empty ones among them; the prototypes are those of docs' own languages.
-    Where no document has a language, nothing is rejected but such texts all the same."""
+    Which language a text has, and how surely, decides nothing: the rows kept are those of the letter test that stands in
+    where no labelled text has a letter."""
     prototypes = language_id.learn(docs)
-    if not prototypes:
+    if not any(v.any() for v in prototypes.values()):
         return docs.filter(r"text RLIKE '\\p{L}'")
     return language_id.predict(docs, prototypes, to="_ow_lang", score="_ow_score").filter("_ow_lang <> 'und'").drop("_ow_lang", "_ow_score")
 

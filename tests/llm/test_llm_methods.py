@@ -381,3 +381,8 @@ def test_pipeline_on_edges(spark, edge, store):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edge, folder).columns == edge.columns
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_labelled_texts_without_a_letter_teach_nothing(spark):
+    docs = spark.createDataFrame([(1, "12 3", "en"), (2, "plain words", None), (3, None, None), (4, "!?", "fr"), (5, "é", None)], "doc_id int, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identified(spark, docs, SF).collect()) == [2, 5]
