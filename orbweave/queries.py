@@ -498,6 +498,5 @@ def rf_predict(spark, sf_dir):
     from .plans import classify
 
     rows = _samples(spark, sf_dir)
-    train, test = A.split(rows, 0.3)
-    model = classify.fit(train, trees=20, depth=8)
-    return classify.predicted(test.select("r", "c", F.col("features").alias("bands")), model)
+    train, _ = A.split(rows, 0.3)
+    return classify.predicted(rows.select("r", "c", F.col("features").alias("bands")), classify.fit(train))

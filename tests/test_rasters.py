@@ -205,3 +205,17 @@ def test_nn_align_takes_in_every_row_of_the_raster(spark, size):
     want = {(r, c): label.get((int((r + 0.5) * 2.5), int((c + 0.5) * 2.5))) for r in range(-(-height * 2 // 5)) for c in range(10)}
     rows = queries.QUERIES["nn_align"](spark, sf).collect()
     assert len(rows) == len(want) == height * 4 and {(x["r"], x["c"]): x["label"] for x in rows} == want
+
+
+def test_rf_predict_classifies_every_pixel_with_the_default_forest(spark, monkeypatch):
+    asked, fit = [], classify.fit
+
+    def small(samples, trees=500, depth=None, seed=42):
+        asked.append((trees, depth))
+        return fit(samples, 5, 4, seed)
+
+    monkeypatch.setattr(classify, "fit", small)
+    sf = "/root/testdata/sf0.001"
+    pixels = {divmod(x["vec_id"], 25) for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    rows = queries.QUERIES["rf_predict"](spark, sf).collect()
+    assert len(rows) == len(pixels) and {(x["r"], x["c"]) for x in rows} == pixels and asked == [(500, None)]
