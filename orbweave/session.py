@@ -24,9 +24,12 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session, all in one process, may leave it unset and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("orbweave.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("orbweave.scratch.dir", found)
     return found
