@@ -20,14 +20,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, span_hashes, table, utf8
+from .common import blocks, bounded_batches, exact_numbers, table, utf8
 
 STRETCH_BYTES = 12_000_000
+#: The name of the column that workers read and replace.
+OWN = "_ow_payload"
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The code points of the White_Space property.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -234,38 +235,18 @@ def _merges(tokens: tuple[bytes, ...]) -> Merges:
     return Merges(list(tokens))
 
 
-def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
-    """Whether the spans of equal length from a and from b hold the same bytes."""
-    order = np.argsort(-length, kind="stable")
-    a, b, length = a[order], b[order], length[order]
-    long = int(np.searchsorted(-length, -64, "left"))
-    for x, y, n in zip(a[:long], b[:long], length[:long], strict=True):
-        if not np.array_equal(data[x : x + n], data[y : y + n]):
-            return False
-    a, b, length = a[long:], b[long:], length[long:]
-    reach = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
-    return all(np.array_equal(data[a[:k] + j], data[b[:k] + j]) for j, k in enumerate(reach))
-
-
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of some texts, the number of the word at each place, and each text's number of places."""
     starts = split(data, offsets)
     ends = np.append(starts[1:], len(data))
-    numbers, unique = pd.factorize(span_hashes(data, starts, ends))
-    example = np.zeros(len(unique), np.int64)
-    example[numbers[::-1]] = np.arange(len(starts))[::-1]
+    numbers, example = exact_numbers(data, starts, ends)
     raw = data.tobytes()
-    if len(starts) and not (np.array_equal(ends - starts, (ends - starts)[example][numbers]) and _same(data, starts, starts[example][numbers], ends - starts)):
-        known: dict[bytes, int] = {}  # two words with one hash: number them by their bytes
-        numbers = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-        words = list(known)
-    else:
-        words = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+    words = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
     places = np.diff(np.searchsorted(starts, offsets))
     return words, numbers, places
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...]) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches with text become batches with ids in its place, as little-endian 32-bit lists."""
     merges = _merges(tokens)
 
@@ -281,11 +262,11 @@ def encode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...])
             yield pa.RecordBatch.from_arrays([*rest.columns, lists], [*rest.schema.names, "ids"])
 
     held, known, size = [], {}, 0
-    for block in blocks(batches, "text"):
-        data, offsets = utf8(block.column("text"))
+    for block in blocks(batches, text):
+        data, offsets = utf8(block.column(text))
         words, numbers, places = words_of(data, offsets)
         here = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        held.append((block.drop_columns(["text"]), here[numbers].astype(np.int32), places))
+        held.append((block.drop_columns([text]), here[numbers].astype(np.int32), places))
         size += len(data)
         if size >= STRETCH_BYTES:
             yield from finish(held, known)
@@ -294,11 +275,11 @@ def encode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...])
         yield from finish(held, known)
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def decode_batches(batches: Iterator[pa.RecordBatch], tokens: tuple[bytes, ...], ids: str = "ids") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the decoded bytes of its rows' ids."""
     merges = _merges(tokens)
     for batch in batches:
-        lists = batch.column("ids")
+        lists = batch.column(ids)
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         yield batch, [merges.spell(flat[a:b]).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -310,31 +291,31 @@ def default_ranks() -> str:
 
 
 def _select(df: DataFrame, column: str, name: str) -> tuple[DataFrame, str]:
-    """df with one column under the name the workers use, and the schema of its others."""
+    """The other columns of df and, last, this one under a name of the workers' own; and the others' schema. A column that has the new one's name goes."""
     bounded_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.col(column).alias(name)), ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != column)
+    rest = [c for c in df.columns if c not in (column, name)]
+    return df.select(*rest, F.col(column).alias(OWN)), ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in rest)
 
 
 def encode(df: DataFrame, ranks: str | None = None, text: str = "text") -> DataFrame:
     """df with text replaced by ids (array of int), the ids that the rank file gives.
 
     A null text counts as empty and has no ids. Texts may be of any length, rows may repeat, and an empty table gives an
-    empty result. The other columns stay as they are; none may be called ids.
+    empty result. The other columns stay as they are; one called ids is replaced.
     """
     tokens = tuple(read_ranks(ranks or default_ranks()))
-    rows, schema = _select(df, text, "text")
-    return rows.mapInArrow(lambda batches: encode_batches(batches, tokens), ", ".join(filter(None, [schema, "ids array<int>"])))
+    rows, schema = _select(df, text, "ids")
+    return rows.mapInArrow(lambda batches: encode_batches(batches, tokens, OWN), ", ".join(filter(None, [schema, "ids array<int>"])))
 
 
 def decode(df: DataFrame, ranks: str | None = None, ids: str = "ids") -> DataFrame:
-    """df with ids replaced by text (string; bytes that are no UTF-8 become U+FFFD); null ids give an empty text."""
+    """df with ids replaced by text (string; bytes that are no UTF-8 become U+FFFD); null ids give an empty text. A column called text is replaced."""
     tokens = tuple(read_ranks(ranks or default_ranks()))
-    rows, schema = _select(df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))), ids, "ids")
+    rows, schema = _select(df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))), ids, "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in decode_batches(batches, tokens):
-            rest = batch.drop_columns(["ids"])
+        for batch, texts in decode_batches(batches, tokens, OWN):
+            rest = batch.drop_columns([OWN])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [*rest.schema.names, "text"])
 
     return rows.mapInArrow(spell, ", ".join(filter(None, [schema, "text string"])))

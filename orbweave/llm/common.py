@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
@@ -66,23 +69,97 @@ def table64(seed: int, n: int = 256) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """For each byte position the eight bytes from it on as one number (zeros beyond the end)."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _tail(length: np.ndarray) -> np.ndarray:
+    """The mask that leaves the first bytes, at most eight, of a number."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.clip(length, 1, 8).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial of random byte values, mixed with the length."""
-    base, values, length = np.uint64(0x9E3779B97F4A7C15), table64(seed), ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    short = np.flatnonzero(length <= 64)
+    """A 64-bit hash of each span of bytes, scattered anew every eight bytes; BLAKE2b for spans of more than 64.
+
+    Equal spans have equal hashes. Hashes only propose: what removes, links or reports compares the bytes, or their digests.
+    """
+    view, length = _eights(data), ends - starts
+    out = np.full(len(starts), seed, np.uint64)
+    short = np.flatnonzero((length <= 64) & (length > 0))
     short = short[np.argsort(-length[short], kind="stable")]
-    if len(short):  # a pass for each byte position over the spans that reach it
-        s, longest = starts[short], int(length[short[0]])
-        reach = np.searchsorted(-length[short], -np.arange(longest), "left")
-        h = np.zeros(len(short), np.uint64)
-        for j in range(longest):
-            k = reach[j]
-            h[:k] = h[:k] * base + values[data[s[:k] + j]]
+    if len(short):  # a pass for each eight bytes over the spans that reach them
+        s, n, h = starts[short], length[short], np.full(len(short), seed, np.uint64)
+        for at in range(0, int(n[0]), 8):
+            k = int(np.searchsorted(-n, -at, "left"))
+            h[:k] = mix64((h[:k] * np.uint64(0x9E3779B97F4A7C15)) ^ (view[s[:k] + at] & _tail(n[:k] - at)))
         out[short] = h
-    for i in np.flatnonzero(length > 64):
-        v = values[data[starts[i] : ends[i]]]
-        powers = np.ones(len(v), np.uint64)
-        powers[1:] = np.multiply.accumulate(np.full(len(v) - 1, base, np.uint64))
-        out[i] = (v * powers[::-1]).sum(dtype=np.uint64)
+    for i in np.flatnonzero(length > 64).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return mix64(out ^ (length.astype(np.uint64) << np.uint64(1)))
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
+    """Whether each span of bytes from a equals the one of the same length from b."""
+    view = _eights(data)
+    order = np.argsort(-length, kind="stable")
+    a, b, length = a[order], b[order], length[order]
+    long = int(np.searchsorted(-length, -64, "left"))
+    for x, y, n in zip(a[:long].tolist(), b[:long].tolist(), length[:long].tolist(), strict=True):
+        if x != y and not np.array_equal(data[x : x + n], data[y : y + n]):
+            return False
+    a, b, length = a[long:], b[long:], length[long:]
+    for at in range(0, int(length[0]) if len(length) else 0, 8):
+        k = int(np.searchsorted(-length, -at, "left"))
+        if np.any((view[a[:k] + at] ^ view[b[:k] + at]) & _tail(length[:k] - at)):
+            return False
+    return True
+
+
+def exact_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each span of bytes, equal for equal spans alone, and a place where each number stands first.
+
+    Spans are told apart by hash and then held against their number's first span, byte for byte; if two spans ever share a hash,
+    all are numbered by their bytes.
+    """
+    numbers, unique = pd.factorize(span_hashes(data, starts, ends))
+    example = _first_places(numbers, len(unique))
+    length = ends - starts
+    if not (np.array_equal(length, length[example][numbers]) and same_spans(data, starts, starts[example][numbers], length)):
+        known: dict[bytes, int] = {}
+        raw = data.tobytes()
+        numbers = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        example = _first_places(numbers, len(known))
+    return numbers.astype(np.int64), example
+
+
+def _first_places(numbers: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    out[numbers[::-1]] = np.arange(len(numbers))[::-1]
+    return out
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """What a row is known by: the SHA-256 of its id (by kind and length, so none can pose as another) and text."""
+    known = F.col(doc_id).cast("string")
+    head = F.coalesce(F.concat(F.lit("v"), F.length(known).cast("string"), F.lit(":"), known), F.lit("n"))
+    return F.unhex(F.sha2(F.concat(head, F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+
+
+#: Rows of keys that may be broadcast; with more, keys and rows are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_ROWS rows (count it where that is cheap: a materialised table)."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def without(df: DataFrame, marks: DataFrame, on: Column, own: str) -> DataFrame:
+    """The rows of df that marks (a materialised table with _ow_kept: 0 or 1) doesn't name, and of those it names with 1 one of each `own`."""
+    joined = df.join(broadcast_if_small(marks), on, "left")
+    stay = joined.filter("_ow_kept IS NULL")
+    if marks.filter("_ow_kept = 1").limit(1).count():  # rows that repeat: partial aggregation leaves one of each in every task
+        stay = stay.unionByName(joined.filter("_ow_kept = 1").dropDuplicates([own]))
+    return stay

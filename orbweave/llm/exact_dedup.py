@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import blocks, bounded_batches, table, table64, utf8
+from .common import blocks, bounded_batches, table, table64, utf8, without
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 8192, 10
 
@@ -103,15 +103,12 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns: one of each group of equal texts."""
-    marks = exact_dedup(df, doc_id, text).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    marks = materialise(marks.select(F.col("doc_id").alias("_ow_id"), F.col("text_sha256").alias("_ow_sha"), F.col("n").alias("_ow_n")), "kept")
+    """The rows of df that stay, with all their columns: one of each group of equal texts. Rows that stay don't move: only the
+    marks of rows that go, and of rows that repeat one that stays, are held against df."""
+    marks = exact_dedup(df, doc_id, text).groupBy(F.col("doc_id").alias("_ow_id"), F.col("text_sha256").alias("_ow_sha")).agg(F.max(F.col("kept").cast("int")).alias("_ow_kept"), F.count("*").alias("_ow_n"))
+    marks = materialise(marks.filter("_ow_kept = 0 OR _ow_n > 1"), "marks")
     keyed = df.withColumn("_ow_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    out = keyed.join(marks, (F.col("_ow_key") == F.col("_ow_sha")) & F.col(doc_id).eqNullSafe(F.col("_ow_id")))
-    if marks.filter("_ow_n > 1").limit(1).count():  # repeated rows: partial aggregation leaves one of each in every task
-        twice = out.filter("_ow_n > 1").dropDuplicates(["_ow_key", "_ow_id"])
-        out = out.filter("_ow_n = 1").unionByName(twice)
-    return out.select(*[out[c] for c in df.columns])
+    return without(keyed, marks, (F.col("_ow_key") == F.col("_ow_sha")) & F.col(doc_id).eqNullSafe(F.col("_ow_id")), "_ow_key").select(*df.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import blocks, bounded_batches, mix64, table
 
 DIM = 1024
+#: A label column with more values is refused: prototypes are held by the driver and every task.
+MOST_LANGUAGES = 5000
 #: Bytes of text, trigrams, and numbers that are handled at once.
 BLOCK, COLUMNS, CELLS = 1_000_000, 8192, 2_000_000
 
@@ -119,7 +121,9 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInArrow(bundle, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():  # DIM numbers a language
+    for n, r in enumerate(parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).toLocalIterator()):  # DIM numbers a language
+        if n >= DIM * MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang} a language?")
         out.setdefault(r["lang"], np.zeros(DIM))[r["i"]] = r["x"]
     return out
 
@@ -129,8 +133,8 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
 
     A text that is null, empty or without a letter is `und` with score 0, and so is all if nothing was learned. Of equal
     cosines the first language in alphabetical order wins. Whole texts are read, of any length, a block at a time; rows
-    that repeat get equal results, and an empty table gives an empty one. df may have any other columns, but not
-    those two names.
+    that repeat get equal results, and an empty table gives an empty one. Other columns stay as they are; columns called
+    `to` or `score` are replaced.
     """
     names = sorted(k for k, v in prototypes.items() if np.any(v))
     matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), DIM)
@@ -151,8 +155,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
             rest = [c for c, k in zip(block.columns, block.schema.names, strict=True) if k != own]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(k for k in block.schema.names if k != own), to, score])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{to}` string", f"`{score}` double"])
-    return df.withColumn(own, F.col(text)).mapInArrow(judge, schema)
+    rest = [(c, t) for c, t in df.dtypes if c not in (to, score)]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rest), f"`{to}` string", f"`{score}` double"])
+    return df.select(*(F.col(f"`{c}`") for c, _ in rest), F.col(text).alias(own)).mapInArrow(judge, schema)
 
 
 def fold(doc_id: str, n: int):

@@ -1,12 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A text is the set of its five-word shingles, and texts with one set are one class. Each class has TREES labels of DEPTH
-minhashes. In each tree a label's prefix leads to a bucket of the sorted prefix trie; the prefix is shortened from DEPTH until
-two texts at the threshold share a bucket in some tree with probability RECALL. Inside a bucket, members are
-reached from one another, breadth first, where the estimate from all minhashes is within SLACK of the threshold; those
-that are reached form candidate components. In a component all pairs are then verified by their exact sets, as a sparse matrix
-times itself, block by block; only each class's number of links and one edge towards its group leave the task, so no pair
-is ever a row.
+A text is the set of its five-word shingles. Each different text (as a string of words) has TREES labels of DEPTH minhashes, one in each tree of the
+forest; a tree is the sorted prefix trie of its labels. Texts whose label's prefix stands alone at the shortest depth that the
+target recall allows are dropped first, in one shuffle of narrow rows. What is left lies in subtries, each sorted by label
+and searched from its leaves up: at depth DEPTH only texts of one whole label meet, and a prefix is shortened by one minhash as long as the
+subtrie is not yet one component and until the depth of the target recall. A crowded subtrie is dealt in parts, and every
+two parts meet in a task of their own.
+
+Where texts meet, an edge joins those whose estimate from all minhashes is within SLACK of the threshold. In a component of
+such edges all pairs are then verified by their exact sets of shingles, which are numbered by comparing words, not
+hashes; a prefix filter finds which rows can meet, and blocks of them are multiplied as matrices. Only each text's number of links and
+one edge towards its group leave the task, so no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -16,19 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import blocks, bounded_batches, table, table64
+from .common import blocks, bounded_batches, broadcast_if_small, mix64, row_key, table, table64, without
 from .components import components
-from .substring_dedup import Words, _flags, _list, _sources, _with_buckets, repeated
+from .substring_dedup import Words, repeated
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 8, 0.9999
 #: How far below the threshold an estimate may lie: more than four standard deviations of TREES * DEPTH minhashes.
 SLACK = 0.13
-#: Shingles in a block of a component.
-BLOCK_SHINGLES = 1_500_000
+#: Texts of a subtrie that meet in one task; a larger one is dealt in parts.
+CROWD = 500
+#: Shingles, and texts, in a part of a component.
+BLOCK_SHINGLES, BLOCK_TEXTS = 500_000, 100_000
+#: Rows, columns and shingles of the matrices that are multiplied.
+ROWS, COLUMNS, WIDTH = 256, 1024, 4096
 
 
 def prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -39,34 +47,39 @@ def prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: flo
     return k
 
 
-def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of each text's different n-word shingles, sorted, and where each text's begin (and the end). A text of fewer words
-    has one shingle, all its words; one without a word has none."""
-    words = Words(column, n)
-    h, own = words.hashes(n) if len(words.begin) else np.zeros(0, np.uint64), np.repeat(np.arange(len(words.count)), words.count)
-    take = words.whole.copy()
-    few = np.flatnonzero((words.count > 0) & (words.count < n))
-    out_h, out_own = h[take], own[take]
-    if len(few):
-        raw = words.data.tobytes()
-        short = [int.from_bytes(hashlib.blake2b(b" ".join(raw[words.offsets[i] : words.offsets[i + 1]].split()), digest_size=8).digest(), "little") for i in few.tolist()]
-        out_h, out_own = np.append(out_h, np.array(short, np.uint64)), np.append(out_own, few)
-    order = np.lexsort((out_h, out_own))
-    out_h, out_own = out_h[order], out_own[order]
-    new = np.ones(len(out_h), bool)
-    new[1:] = (out_h[1:] != out_h[:-1]) | (out_own[1:] != out_own[:-1])
-    out_h, out_own = out_h[new], out_own[new]
-    return out_h, np.searchsorted(out_own, np.arange(len(words.count) + 1))
+def shingles(words: Words, n: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different n-word shingles, sorted, and where each text's begin (and the end): hashes, or, if exact, numbers that are
+    equal within these texts where the words are. A text of fewer words has one shingle, all its words; one without a word has none."""
+    if not len(words.begin):
+        return np.zeros(0, np.int64 if exact else np.uint64), np.zeros(len(words.count) + 1, np.int64)
+    own = np.repeat(np.arange(len(words.count)), words.count)
+    of = words.numbers if exact else words.hashes
+    out, out_own = of(n)[words.whole].astype(np.int64 if exact else np.uint64), own[words.whole]
+    above = int(out.max()) + 1 if exact and len(out) else 0
+    for size in range(1, n):  # short texts, by their number of words
+        few = np.flatnonzero(words.count == size)
+        if len(few):
+            some = of(size)[words.first[few]]
+            some = some + above if exact else mix64(some.astype(np.uint64) + np.uint64(size))
+            above = int(some.max()) + 1 if exact else 0
+            out, out_own = np.append(out, some.astype(out.dtype)), np.append(out_own, few)
+    order = np.lexsort((out, out_own))
+    out, out_own = out[order], out_own[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (out_own[1:] != out_own[:-1])
+    out, out_own = out[new], out_own[new]
+    return out, np.searchsorted(out_own, np.arange(len(words.count) + 1))
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minhashes (32 bits) of each set; of an empty set all are the largest number."""
+    """TREES * DEPTH minhashes (16 bits of each) of each set; of an empty set all are the largest number."""
     factors = table64(99, TREES * DEPTH) | np.uint64(1)
     some = np.flatnonzero(np.diff(first) > 0)
-    out = np.full((len(first) - 1, len(factors)), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(first) - 1, len(factors)), 0xFFFF, np.uint16)
     if len(some):
         for k, f in enumerate(factors):
-            out[some, k] = np.minimum.reduceat(((h * f) >> np.uint64(32)).astype(np.uint32), first[some])
+            low = np.minimum.reduceat(((h * f) >> np.uint64(32)).astype(np.uint32), first[some])
+            out[some, k] = (low ^ (low >> np.uint32(16))).astype(np.uint16)
     return out
 
 
@@ -77,87 +90,36 @@ def keys(signature: np.ndarray, length: int) -> np.ndarray:
     for t in range(TREES):
         x = np.full(len(signature), seeds[t], np.uint64)
         for k in range(length):
-            x = (x ^ signature[:, t * DEPTH + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
+            x = mix64(x ^ (signature[:, t * DEPTH + k].astype(np.uint64) + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)))
         out[:, t] = x
     return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal values in the columns `by`, of batches that are sorted by them."""
+    """The runs of equal values in the columns `by` (numbers), of batches that are sorted by them."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        columns = [batch.column(c).to_numpy() for c in by]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = last is not None and tuple(c[0] for c in columns) != last
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
         start = 0
-        for k in range(len(ids) + 1):
-            if k == len(ids) or (k and ids[k] != ids[k - 1]) or (k == 0 and last is not None and ids[0] != last):
-                if k > start:
-                    held.append(batch.slice(start, k - start))
-                if k < len(ids) and held:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                start = k
-        last = ids[-1]
+        for edge in [*np.flatnonzero(new).tolist(), batch.num_rows]:
+            if edge > start:
+                held.append(batch.slice(start, edge - start))
+            if edge < batch.num_rows and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            start = edge
+        last = tuple(c[-1] for c in columns)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def join_bucket(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges that span the graph of pairs whose share of equal minhashes is `least` or more, found breadth first:
-    who has been reached is not compared again."""
-    out, waiting = [], np.arange(len(sketches))
-    need = int(np.ceil(least * sketches.shape[1]))
-    while len(waiting) > 1:
-        front, waiting = [int(waiting[0])], waiting[1:]
-        while front and len(waiting):
-            at = front.pop()
-            near = (sketches[waiting] == sketches[at]).sum(axis=1) >= need
-            reached = waiting[near]
-            out += [(at, k) for k in reached.tolist()]
-            front += reached.tolist()
-            waiting = waiting[~near]
-    return out
-
-
-def links(sets: list[np.ndarray], threshold: float, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs (i of left, j of right, i < j where both are of both) whose exact Jaccard similarity is the threshold or more."""
-    size = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    own = np.repeat(np.arange(len(sets)), size)
-    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    own, number = own[shared], (np.cumsum(count > 1) - 1)[number[shared]]
-    order = np.argsort(number, kind="stable")
-    own, number = own[order], number[order]
-    width, step = int(number[-1]) + 1 if len(number) else 0, 4096
-    place = {int(k): n for n, k in enumerate(right)}
-    for low in range(0, len(left), 1024):
-        rows = left[low : low + 1024]
-        common = np.zeros((len(rows), len(right)), np.float32)
-        at = np.full(len(sets), -1)
-        at[rows] = np.arange(len(rows))
-        to = np.full(len(sets), -1)
-        to[right] = np.arange(len(right))
-        for begin in range(0, width, step):
-            s = slice(*np.searchsorted(number, (begin, begin + step)))
-            a, b = np.zeros((len(rows), step), np.float32), np.zeros((len(right), step), np.float32)
-            x, y = at[own[s]], to[own[s]]
-            a[x[x >= 0], number[s][x >= 0] - begin] = 1
-            b[y[y >= 0], number[s][y >= 0] - begin] = 1
-            used = a.any(axis=0)
-            common += a[:, used] @ b[:, used].T
-        union = size[rows][:, None] + size[right][None, :] - common
-        hit = common >= threshold * union - 1e-6
-        hit &= union > 0
-        i, j = np.nonzero(hit)
-        i, j = rows[i], right[j]
-        keep = (i < j) | ((i > j) & ~np.isin(i, right)) if len(place) else np.zeros(0, bool)
-        yield i[keep], j[keep]
-
-
 class Forest:
     """Union-find over a task's items; a root is the least of its set."""
 
@@ -175,10 +137,111 @@ class Forest:
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        return np.array([self.root(k) for k in of.tolist()], np.int64)
+
+
+def join_subtrie(labels: np.ndarray, sketches: np.ndarray, least: float, shortest: int) -> tuple[list[tuple[int, int]], int]:
+    """Edges that span the graph of pairs whose share of equal minhashes is `least` or more, and the depth at which the search ended.
+
+    Rows are sorted by label and searched from the whole label up to the shortest prefix. At each depth, texts of one prefix that are
+    not yet in one component are compared; when the subtrie is one component, its prefix is not shortened further.
+    """
+    order = np.lexsort(labels.T[::-1])
+    labels, sketches = labels[order], sketches[order]
+    need = int(np.ceil(least * sketches.shape[1]))
+    forest, out, depth = Forest(len(labels)), [], labels.shape[1]
+    for depth in range(labels.shape[1], shortest - 1, -1):
+        edges = np.flatnonzero((labels[1:, :depth] != labels[:-1, :depth]).any(axis=1)) + 1
+        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(labels)).tolist(), strict=True):
+            if b - a > 1:
+                for x, y in _across(sketches[a:b], forest.roots(np.arange(a, b)), need):
+                    forest.join(a + x, a + y)
+                    out.append((int(order[a + x]), int(order[a + y])))
+        if not forest.roots(np.arange(len(labels))).any():
+            break
+    return out, depth
+
+
+def _across(sketches: np.ndarray, roots: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """Edges between rows of different roots, breadth first: a component that has been reached goes on reaching, as a whole."""
+    out, waiting = [], np.arange(len(sketches))
+    while len(waiting) > 1:
+        own = roots[waiting] == roots[waiting[0]]
+        front, waiting = waiting[own].tolist(), waiting[~own]
+        while front and len(waiting):
+            at = front.pop()
+            near = waiting[(sketches[waiting] == sketches[at]).sum(axis=1) >= need]
+            if len(near):
+                _, first = np.unique(roots[near], return_index=True)  # one edge to each component
+                out += [(at, k) for k in near[first].tolist()]
+                taken = np.isin(roots[waiting], roots[near])
+                front += waiting[taken].tolist()
+                waiting = waiting[~taken]
+    return out
+
+
+class Sets:
+    """Some sets of numbers, as rows of a sparse matrix whose columns run from the rarest number to the commonest."""
+
+    def __init__(self, values: np.ndarray, first: np.ndarray) -> None:
+        _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        column = rank[number]
+        order = np.lexsort((column, own))
+        self.column, self.first, self.size, self.width = column[order], first, np.diff(first), len(count)
+
+    def entries(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first `size` entries of some rows: which of them, and the column."""
+        which = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[rows], size)
+        return which, self.column[at]
 
-def _key(doc_id: str, text: str):
-    """What a row is known by: its id and text."""
-    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\u0001"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+
+def links(sets: Sets, threshold: float, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i of left, j of right, i < j where both are of both) whose exact Jaccard similarity is the threshold or more.
+
+    Two such sets share one of their rarest numbers: of a set of n, one of the first n - ceil(threshold * n) + 1. So some rows of left meet
+    only the rows of right that these lead to, and are multiplied with them in matrices of bounded size.
+    """
+    lead = sets.size - np.ceil(threshold * sets.size - 1e-6).astype(np.int64) + 1
+    lead = np.minimum(np.maximum(lead, 1), sets.size)
+    which, column = sets.entries(right, lead[right])
+    order = np.argsort(column, kind="stable")
+    posted, column = right[which[order]], column[order]  # the rows under each of their leading columns
+    same = np.array_equal(left, right)
+    local = np.full(sets.width + 1, -1)
+    for low in range(0, len(left), ROWS):
+        rows = left[low : low + ROWS]
+        _, leading = sets.entries(rows, lead[rows])
+        leading = np.unique(leading)
+        a, b = np.searchsorted(column, leading, "left"), np.searchsorted(column, leading, "right")
+        n = b - a
+        met = np.unique(posted[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)])
+        x, x_column = sets.entries(rows, sets.size[rows])
+        used = np.unique(x_column)
+        local[used] = np.arange(len(used))
+        x_column = local[x_column]
+        for some in range(0, len(met), COLUMNS):
+            others = met[some : some + COLUMNS]
+            y, y_column = sets.entries(others, sets.size[others])
+            y_column = local[y_column]
+            y, y_column = y[y_column >= 0], y_column[y_column >= 0]
+            common = np.zeros((len(rows), len(others)), np.float32)
+            for begin in range(0, len(used), WIDTH):
+                p, q = np.zeros((len(rows), min(WIDTH, len(used) - begin)), np.float32), np.zeros((len(others), min(WIDTH, len(used) - begin)), np.float32)
+                in_x, in_y = (x_column >= begin) & (x_column < begin + WIDTH), (y_column >= begin) & (y_column < begin + WIDTH)
+                p[x[in_x], x_column[in_x] - begin] = 1
+                q[y[in_y], y_column[in_y] - begin] = 1
+                common += p @ q.T
+            union = sets.size[rows][:, None] + sets.size[others][None, :] - common
+            i, j = np.nonzero((common >= threshold * union - 1e-6) & (union > 0))
+            i, j = rows[i], others[j]
+            keep = i < j if same else i != j
+            yield i[keep], j[keep]
+        local[used] = -1
 
 
 def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,128 +257,118 @@ def near_dedup(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
 
 
 def kept_rows(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that near_dedup keeps, with all their columns: one of each group, and every text without a shingle."""
-    marks = _linked(df, threshold, shingle, doc_id, text).filter("kept").groupBy(F.col("key").alias("_ow_mark")).agg(F.count("*").alias("_ow_n"))
-    marks = materialise(marks, "kept")
-    out = df.withColumn("_ow_key", _key(doc_id, text)).join(marks, F.col("_ow_key") == F.col("_ow_mark"))
-    if marks.filter("_ow_n > 1").limit(1).count():  # repeated rows: one of them stays
-        out = out.filter("_ow_n = 1").unionByName(out.filter("_ow_n > 1").dropDuplicates(["_ow_key"]))
-    return out.select(*[out[c] for c in df.columns])
+    """The rows of df that near_dedup keeps, with all their columns: one of each group, and every text without a shingle.
+
+    Rows that stay don't move: only the keys of rows that go, and of rows that repeat one that stays, are held against df.
+    """
+    marks = _linked(df, threshold, shingle, doc_id, text).groupBy(F.col("key").alias("_ow_mark")).agg(F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("_ow_kept"), F.count("*").alias("_ow_n"))
+    marks = materialise(marks.filter("_ow_kept = 0 OR _ow_n > 1"), "marks")
+    return without(df.withColumn("_ow_key", row_key(doc_id, text)), marks, F.col("_ow_key") == F.col("_ow_mark"), "_ow_key").select(*df.columns)
 
 
 def _linked(df: DataFrame, threshold: float, shingle: int, doc_id: str, text: str) -> DataFrame:
     """near_dedup's rows, and the key of each."""
     bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
-    own = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).alias("doc_id"), own.alias("text"), _key(doc_id, text).alias("key"))
-    length = prefix(threshold)
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), row_key(doc_id, text).alias("key"))
+    shortest = prefix(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            h, first = shingles(block.column("text"), shingle)
-            s = signatures(h, first)
-            k = keys(s, length)
-            n = np.diff(first)
-            ids = [hashlib.sha256(h[a:b].tobytes()).hexdigest()[:32] if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            low = (s & np.uint32(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), pa.array(ids, pa.string()), pa.array(n.astype(np.int64)), pa.array([r.tobytes() for r in low], pa.binary()), pa.array([r.tobytes() for r in k], pa.binary())], ["doc_id", "key", "cls", "n", "sketch", "keys"])
-
-    signed = materialise(docs.mapInArrow(sign, f"doc_id {kind}, key binary, cls string, n long, sketch binary, keys binary"), "signed")
-    # A class is known by its set; of its rows the largest doc_id stands for it.
-    classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.max(F.struct("doc_id", "key")).alias("top"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources = _sources()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 5000):
-                part = batch.slice(low, 5000)
-                yield pa.RecordBatch.from_arrays([pa.array([next(sources)], pa.int64()), *(_list(part.column(c)) for c in ("cls", "sketch")), pa.array([b"".join(part.column("keys").to_pylist())], pa.binary())], ["src", "cls", "sketch", "keys"])
-
-    of_class = materialise(classes, "classes")
-    state = materialise(of_class.select("cls", "sketch", "keys").mapInArrow(pack, "src long, cls array<string>, sketch array<binary>, keys binary"), "packed")
-
-    def sent(row: pa.RecordBatch) -> Iterator[tuple]:
-        yield row.column("src")[0].as_py(), np.frombuffer(row.column("keys")[0].as_py(), np.uint64), None
-
-    # Buckets of at least two classes, and in them the candidate edges.
-    total = of_class.count() * TREES
-    told = _with_buckets(repeated(state, sent, total, ["src", "keys"]), total)
+            words = Words(block.column("text"), shingle)
+            h, first = shingles(words, shingle)
+            s, n = signatures(h, first), np.diff(first)
+            raw = words.data.tobytes()
+            seq = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() if some else None for a, b, some in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), (n > 0).tolist(), strict=True)]
+            whole = np.add.reduceat(np.append(mix64(h), np.uint64(0)), first[:-1]) if len(n) else n  # the same for equal sets
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(keys(s, shortest).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("key"), pa.array(seq, pa.binary()), pa.array(n.astype(np.int64)), pa.array(whole.astype(np.uint64).view(np.int64)), pa.array([r.tobytes() for r in s], pa.binary()), lists],
+                ["doc_id", "key", "seq", "n", "whole", "sketch", "keys"],
+            )
+
+    signed = materialise(docs.mapInArrow(sign, f"doc_id {kind}, key binary, seq binary, n long, whole long, sketch binary, keys array<long>"), "signed")
+    # A string of words is known by its digest; of its rows the largest doc_id stands for it. From here on it has a number.
+    one = signed.filter("seq IS NOT NULL").groupBy("seq").agg(F.max(F.struct("doc_id", "key")).alias("top"), F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("n", "whole", "sketch", "keys")])
+    texts = materialise(one.withColumn("cls", F.monotonically_increasing_id()), "texts")
+
+    # Prefixes of the shortest depth that more than one text has.
+    told = repeated(texts.select("cls", F.posexplode("keys").alias("i", "h")).select("h", F.col("cls").alias("src"), "i"), ["h"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                every = np.frombuffer(row.column("keys")[0].as_py(), np.uint64)
-                at = np.flatnonzero(_flags(row.column("told")[0].as_py(), every, None))
-                of = pa.array(at // TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), row.column("cls").flatten().take(of), row.column("sketch").flatten().take(of)], ["bucket", "cls", "sketch"])
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["bucket"]):
-            cls = group.column("cls").to_pylist()
-            edges = join_bucket(np.array([np.frombuffer(s, np.uint8) for s in group.column("sketch").to_pylist()]), threshold - SLACK)
+            lists, cls = batch.column("keys"), batch.column("cls").to_numpy()
+            every = lists.values.to_numpy()[lists.offsets.to_numpy()[0] :].reshape(-1, TREES)
+            trees = [np.frombuffer(b"".join(x), np.int32) for x in batch.column("told").to_pylist()]
+            of, tree = np.repeat(np.arange(len(trees)), [len(x) for x in trees]), np.concatenate(trees)
+            yield pa.RecordBatch.from_arrays([pa.array(every[of, tree]), pa.array(tree), pa.array(cls[of])], ["bucket", "tree", "cls"])
+
+    meeting = materialise(texts.select("cls", "keys").join(told, F.col("cls") == F.col("src")).select("cls", "keys", "told").mapInArrow(shared, "bucket long, tree int, cls long"), "meeting")
+    crowds = meeting.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD).select("bucket", F.ceil(F.col("size") / CROWD).cast("int").alias("parts"))
+    placed = meeting.join(crowds, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("pair", F.explode(_pairs(F.pmod(F.xxhash64("cls", "bucket"), "parts").cast("int")))).select("bucket", "pair.i", "pair.j", "tree", "cls")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["bucket", "i", "j"]):
+            cls, tree = group.column("cls").to_numpy(), group.column("tree")[0].as_py()
+            sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(cls), -1)
+            edges, _ = join_subtrie(sketches[:, tree * DEPTH : (tree + 1) * DEPTH], sketches, threshold - SLACK, shortest)
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([cls[a] for a, _ in edges]), pa.array([cls[b] for _, b in edges])], ["a", "b"])
-
-    rows = state.join(told, "src").select("keys", "cls", "sketch", "told").mapInArrow(shared, "bucket long, cls string, sketch binary")
-    edges = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(buckets, "a string, b string")
-    found = materialise(components(edges), "components")
-    discard(state)
-
-    # Verification: the sets of a component meet in one task, or block by block in several.
-    members = found.join(of_class, found["node"] == of_class["cls"]).select("cls", "root", "n", "docs", F.col("top.key").alias("key"))
-    weight = members.groupBy("root").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).cast("int").alias("parts"))
-    members = members.join(weight, "root")
-    members = materialise(members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "members")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    dealt = docs.select("key", "text").join(members, "key").select("root", "cls", "docs", "part", "text", F.explode(pairs).alias("pair"))
-    dealt = dealt.select("root", "pair.i", "pair.j", "cls", "docs", "part", "text")
+                a, b = np.array(edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+
+    dealt = placed.join(texts.select("cls", "sketch"), "cls").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = materialise(components(dealt.mapInArrow(meet, "a long, b long")), "components")
+    discard(meeting)
+
+    # Verification: the texts of a component meet in one task, or part by part in several.
+    members = found.join(texts, found["node"] == texts["cls"]).select("cls", "root", "n", "docs", "whole", F.col("top.key").alias("key"))
+    parts = F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)) + 1
+    members = members.join(members.groupBy("root").agg(parts.cast("int").alias("parts")), "root")
+    members = materialise(members.withColumn("part", F.pmod(F.xxhash64("whole"), "parts").cast("int")).drop("whole", "n"), "members")
+    moved = docs.select("key", "text").join(broadcast_if_small(members), "key")
+    moved = moved.withColumn("pair", F.explode(_pairs(F.col("part")))).select("root", "pair.i", "pair.j", "cls", "docs", "part", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["root", "i", "j"]):
-            cls, docs_of, part, sets, at = [], [], [], [], {}
-            for batch in group.to_batches():
-                for block in blocks(iter([batch]), "text"):
-                    names = block.column("cls").to_pylist()
-                    h, first = shingles(block.column("text"), shingle)
-                    for k, name in enumerate(names):
-                        if name not in at:  # repeated rows
-                            at[name] = len(cls)
-                            cls.append(name)
-                            docs_of.append(block.column("docs")[k].as_py())
-                            part.append(block.column("part")[k].as_py())
-                            sets.append(h[first[k] : first[k + 1]])
+            cls, at = np.unique(group.column("cls").to_numpy(), return_index=True)  # rows may repeat
+            group = group.take(at)
+            docs_of, side = group.column("docs").to_numpy(), group.column("part").to_numpy()
+            values, first = shingles(Words(group.column("text"), shingle), shingle, exact=True)
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            order = sorted(range(len(cls)), key=cls.__getitem__)
-            cls, docs_of, part, sets = ([x[k] for k in order] for x in (cls, docs_of, part, sets))
-            side, weights = np.array(part), np.array(docs_of, np.int64)
             forest, n = Forest(len(cls)), np.zeros(len(cls), np.int64)
-            for a, b in links(sets, threshold, np.flatnonzero(side == i), np.flatnonzero(side == j)):
-                np.add.at(n, a, weights[b])
-                np.add.at(n, b, weights[a])
+            for a, b in links(Sets(values, first), threshold, np.flatnonzero(side == i), np.flatnonzero(side == j)):
+                np.add.at(n, a, docs_of[b])
+                np.add.at(n, b, docs_of[a])
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
                     forest.join(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([cls[forest.root(k)] for k in range(len(cls))]), pa.array(n)], ["cls", "up", "links"])
-
-    verified = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "cls string, up string, links long")
-    verified = materialise(verified, "verified")
-    counts = verified.groupBy("cls").agg(F.sum("links").alias("links"), F.min("up").alias("up"))
-    if members.agg(F.max("parts")).first()[0] in (None, 1):
-        grouped = counts
-    else:  # a group that lies in several tasks
+            known: dict[bytes, int] = {}
+            same = [known.setdefault(values[a:b].tobytes(), k) for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), cls.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(cls[forest.roots(np.arange(len(cls)))]), pa.array(n), pa.array(same if i == j else [None] * len(cls), pa.int64())], ["cls", "up", "links", "same"])
+
+    verified = materialise(moved.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "cls long, up long, links long, same long"), "verified")
+    counts = verified.groupBy("cls").agg(F.sum("links").alias("links"), F.min("up").alias("up"), F.min("same").alias("same"))
+    if members.agg(F.max("parts")).first()[0] not in (None, 1):  # a group that lies in several tasks
         roots = components(verified.select(F.col("cls").alias("a"), F.col("up").alias("b")))
-        grouped = counts.drop("up").join(roots, counts["cls"] == roots["node"], "left").select("cls", "links", F.coalesce("root", "cls").alias("up"))
-    of = of_class.select("cls", "top", "docs").join(grouped, "cls", "left").withColumn("up", F.coalesce("up", "cls"))
+        counts = counts.drop("up").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "links", F.coalesce("root", "cls").alias("up"), "same")
+    of = texts.select("cls", "seq", "top", "docs").join(counts, "cls", "left").withColumn("up", F.coalesce("up", "cls")).withColumn("same", F.coalesce("same", "cls"))
     best = of.groupBy("up").agg(F.max("top").alias("best"))
-    of = of.join(best, "up").select("cls", F.col("top.doc_id").alias("class_id"), F.col("best.doc_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.col("best.key").alias("stays"))
+    sets = of.groupBy("same").agg(F.max("top.doc_id").alias("class_id"))
+    of = of.join(best, "up").join(sets, "same").select("seq", "class_id", F.col("best.doc_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.col("best.key").alias("stays"))
     of = materialise(of, "linked")
-    some = signed.filter("cls IS NOT NULL").select("doc_id", "key", "cls").join(of, "cls")
+    for spent in (texts, found, members, verified):
+        discard(spent)
+    some = signed.filter("seq IS NOT NULL").select("doc_id", "key", "seq").join(of, "seq")
     some = some.select("doc_id", "key", "class_id", "group_id", "n_links", (F.col("key") == F.col("stays")).alias("kept"))
-    none = signed.filter("cls IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    none = signed.filter("seq IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return some.unionByName(none)
 
 
+def _pairs(part: Column) -> Column:
+    """All pairs (i, j), i <= j, of a row's own part and each of the parts 0 to parts - 1."""
+    return F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 

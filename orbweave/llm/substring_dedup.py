@@ -4,33 +4,35 @@ A window of `window` words that occurs twice holds only parts that occur twice.
 length, where every window is stood for by one part of its own, the one with the least hash (equal windows choose
 equal parts, so nothing is lost, and only about one part in ten is counted); windows whose part is repeated, and those
 alone, go on to twice the length, until `window` itself is reached or no candidate survives. At that last length each
-surviving window is counted whole.
+surviving window is counted whole, by the 128-bit BLAKE2b digest of its words: hashes propose, and digests of the words decide.
 
-Counting is an exchange of packed hashes. A block of documents sends each of its different hashes once, in as many pieces
-as there are buckets of the hash; a bucket finds which hashes more than one block holds (or one block twice), and sends
-each block one bit for each hash. So the commonest passage costs a block one hash, rows are few, and a bucket's size follows
-from its share of the hash range alone. Only documents with a candidate move their text, once.
+Counting is one shuffle of rows of fixed width: a block of documents sends each of its different identifiers once (one that
+occurs twice in the block, twice), sorted tasks find those that stand more than once, and send back to each block the places
+of its own. So rows grow with the corpus and with nothing else, and the commonest passage costs a block one row. Only documents
+with a candidate move their text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import blocks, bounded_batches, mix64, span_hashes, table, utf8
+from .common import blocks, bounded_batches, exact_numbers, mix64, row_key, span_hashes, table, utf8
 
-#: Bytes of text in a block, and about how many hashes in a bucket.
+#: Bytes of text in a block.
 BLOCK = 2_000_000
-BUCKET = 1_000_000
 #: The shortest length at which repeats are sought.
 SHORTEST = 8
+#: Places that a task gathers before it sends them back.
+PLACES = 1_000_000
 
 
 def levels(window: int, shortest: int = SHORTEST) -> list[int]:
@@ -54,33 +56,46 @@ class Words:
         self.end = np.flatnonzero(~blank & (edge[1:] | np.append(blank[1:], True)[: len(blank)])) + 1
         self.first = np.searchsorted(self.begin, self.offsets)  # of each text, and the end
         self.count = np.diff(self.first)
-        n = len(self.begin)
         stop = np.repeat(self.first[1:], self.count)
-        self.whole = np.arange(n) + window <= stop  # at which words a window starts
-        self._one: dict[int, np.ndarray] = {}
-
-    def hashes(self, length: int, seed: int = 1) -> np.ndarray:
-        """A hash of the `length` words from each word on (meaningless where a text ends before)."""
-        if seed not in self._one:
-            self._one[seed] = span_hashes(self.data, self.begin, self.end, seed)
-        power, h, base, out, done = 1, self._one[seed], 0xD6E8FEB86659FD93, None, 0
-        factor = base
+        self.whole = np.arange(len(self.begin)) + window <= stop  # at which words a window starts
+
+    def hashes(self, length: int) -> np.ndarray:
+        """A hash of the `length` words from each word on (meaningless where a text ends before); equal words have equal hashes."""
+        return self._doubled(span_hashes(self.data, self.begin, self.end), length, lambda a, b: mix64(a * np.uint64(0xD6E8FEB86659FD93) + b))
+
+    def numbers(self, length: int) -> np.ndarray:
+        """As hashes, but exact: within the block, equal numbers mean equal words."""
+        return self._doubled(exact_numbers(self.data, self.begin, self.end)[0], length, lambda a, b: pd.factorize(a << 32 | b)[0])
+
+    @staticmethod
+    def _doubled(one: np.ndarray, length: int, joined) -> np.ndarray:
+        def pair(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+            later = np.zeros_like(b)
+            later[: max(0, len(b) - shift)] = b[shift:]
+            return joined(a, later)
+
+        h, power, out, done = one, 1, None, 0
         while power <= length:
             if length & power:
-                out, done = (h.copy(), power) if out is None else (self._joined(out, h, done, factor), done + power)
+                out, done = (h, power) if out is None else (pair(out, h, done), done + power)
             if power * 2 <= length:
-                h = self._joined(h, h, power, factor)
-            factor = factor * factor % 2**64
+                h = pair(h, h, power)
             power *= 2
-        return mix64(out)
-
-    @staticmethod
-    def _joined(a: np.ndarray, b: np.ndarray, shift: int, factor: int) -> np.ndarray:
-        out = a * np.uint64(factor)
-        if shift < len(a):
-            out[: len(a) - shift] += b[shift:]
         return out
 
+    def digests(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 128-bit BLAKE2b digests of the `length` words from some words on, joined by one space, as two columns."""
+        size = self.end - self.begin
+        start = np.cumsum(size + 1) - (size + 1)
+        of = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # each byte's place in its word
+        plain = np.full(int((size + 1).sum()), 32, np.uint8)
+        plain[np.repeat(start, size) + of] = self.data[np.repeat(self.begin, size) + of]
+        raw, last = plain.tobytes(), at + length - 1
+        blake = hashlib.blake2b
+        out = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), (start[last] + size[last]).tolist(), strict=True)])
+        both = np.frombuffer(out, "<u8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def parts(self, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows' parts of this length: their hashes in order of place, the alive windows, and the number of each one's part."""
         windows = np.flatnonzero(alive)
@@ -108,75 +123,96 @@ def _unpacked(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def _distinct(h: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the hashes, and in that order whether each is new."""
+def distinct(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of identifiers (h, or h and c together): where each different one stands, which occur twice, and the number of each identifier's."""
     order = np.argsort(h, kind="stable") if c is None else np.lexsort((c, h))
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
     if c is not None:
         new[1:] |= c[order][1:] != c[order][:-1]
-    return order, new
-
-
-def _pieces(src: int, h: np.ndarray, c: np.ndarray | None, buckets: int) -> Iterator[tuple]:
-    """What a block sends: (bucket, src, hashes, check, which occur twice in the block)."""
-    order, new = _distinct(h, c)
     at = np.flatnonzero(new)
-    twice = np.diff(np.append(at, len(h))) > 1
-    own = h[order][at]
-    edges = np.searchsorted(own >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        s = slice(edges[b], edges[b + 1])
-        yield b, src, own[s].tobytes(), b"" if c is None else c[order][at][s].tobytes(), _packed(twice[s])
-
-
-def _merge(pieces: pa.Table) -> pa.Table:
-    """A bucket: which hashes of each piece occur again, in the piece's block or another."""
-    h = [np.frombuffer(x, np.uint64) for x in pieces.column("h").to_pylist()]
-    c = [np.frombuffer(x, np.uint32) for x in pieces.column("c").to_pylist()]
-    twice = np.concatenate([_unpacked(x, len(n)) for x, n in zip(pieces.column("twice").to_pylist(), h, strict=True)])
-    sizes = np.cumsum([len(x) for x in h])[:-1]
-    every, checks = np.concatenate(h), np.concatenate(c)
-    order, new = _distinct(every, checks if len(checks) else None)
-    again = np.zeros(len(every), bool)
-    again[order] = ~new | np.append(~new[1:], False)
-    again |= twice
-    return pa.table({"src": pieces.column("src"), "bucket": pieces.column("bucket"), "bits": pa.array([_packed(x) for x in np.split(again, sizes)], pa.binary())})
-
-
-def repeated(state: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray | None]]], total: int, columns: list[str]) -> DataFrame:
-    """For each src of state: told, a list of (bucket, bits). hashes_of gives a batch's (src, hashes, checks)."""
-    spark = state.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[at], np.diff(np.append(at, len(h))) > 1, number
+
+
+def repeated(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """From rows (ids, src, i), those whose ids stand in more than one row: for each src, the list told of packed numbers i."""
+    names = [*ids, "src", "i"]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names]  # the last row so far
+        src, i, size = [], [], 0
+
+        def tell() -> Iterator[pa.RecordBatch]:
+            s, k = np.concatenate(src), np.concatenate(i)
+            order = np.argsort(s, kind="stable")
+            s, k = s[order], k[order].astype(np.int32)
+            edge = np.flatnonzero(np.diff(s)) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(s[np.append(0, edge)]), pa.array([x.tobytes() for x in np.split(k, edge)], pa.binary())], ["src", "at"])
+
+        again_before = False  # whether the row held over is known to be repeated
+        for batch in _then_none(batches):
+            if batch is None:
+                columns, last = held, True
+            else:
+                columns, last = [np.concatenate([a, batch.column(c).to_numpy()]) for a, c in zip(held, names, strict=True)], False
+            n = len(columns[0])
+            if not n:
+                continue
+            same = np.ones(n - 1, bool)
+            for c in columns[: len(ids)]:
+                same &= c[1:] == c[:-1]
+            again = np.append(again_before, same) | np.append(same, False)
+            done = n if last else n - 1  # the last row waits for what follows it
+            hit = np.flatnonzero(again[:done])
+            if len(hit):
+                src.append(columns[-2][hit])
+                i.append(columns[-1][hit])
+                size += len(hit)
+            if size >= PLACES or (last and size):
+                yield from tell()
+                src, i, size = [], [], 0
+            if not last:
+                again_before, held = bool(again[-1]), [c[-1:] for c in columns]
+
+    dealt = rows.select(*names).repartition(*ids).sortWithinPartitions(*ids)
+    return dealt.mapInArrow(runs, "src long, at binary").groupBy("src").agg(F.collect_list("at").alias("told"))
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _sent(h: np.ndarray, c: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+    """What a block keeps to be counted: [different identifiers h, c, which occur twice], and the number of each identifier's."""
+    at, twice, number = distinct(h, c)
+    return [h[at].tobytes(), b"" if c is None else c[at].tobytes(), _packed(twice)], number
+
+
+def _rows(state: DataFrame, wide: bool) -> DataFrame:
+    """The rows to be counted (h, with c if wide, src, i) of blocks that keep them as _sent says."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                for src, h, c in hashes_of(batch.slice(k, 1)):
-                    rows = list(zip(*_pieces(src, h, c, buckets), strict=True))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "src", "h", "c", "twice"])
+            for row in batch.to_pylist():
+                h = np.frombuffer(row["h"], np.int64)
+                i = np.append(np.arange(len(h)), np.flatnonzero(_unpacked(row["twice"], len(h)))).astype(np.int32)
+                c = [pa.array(np.frombuffer(row["c"], np.int64)[i])] if wide else []
+                for low in range(0, len(i), 500_000):
+                    s = slice(low, low + 500_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i[s]]), *(x[s] for x in c), pa.array(np.full(len(i[s]), row["src"])), pa.array(i[s])], ["h", *["c"] * wide, "src", "i"])
 
-    sent = state.select(*columns).mapInArrow(send, "bucket int, src long, h binary, c binary, twice binary")
-    bits = sent.groupBy("bucket").applyInArrow(_merge, "src long, bucket int, bits binary")
-    return bits.groupBy("src").agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))  # a piece for each bucket at most
+    return state.select("src", "h", *["c"] * wide, "twice").mapInArrow(spread, f"h long, {'c long, ' * wide}src long, i int")
 
 
-def _flags(told: list | None, h: np.ndarray, c: np.ndarray | None) -> np.ndarray:
-    """Undo _pieces: whether each hash of a block is repeated."""
-    order, new = _distinct(h, c)
-    bits = [x["bits"] for x in sorted(told or [], key=lambda x: x["bucket"])]
-    at = np.flatnonzero(new)
-    # pieces end at byte borders: their sizes follow from the hashes again
-    out = np.zeros(len(at), bool)
-    if bits:
-        own, buckets = h[order][at] >> np.uint64(32), told[0]["buckets"]
-        edges = np.searchsorted(own, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-        sizes = np.diff(edges)
-        out = np.concatenate([_unpacked(x, n) for x, n in zip(bits, sizes[sizes > 0].tolist(), strict=True)])
-    flags = np.zeros(len(h), bool)
-    flags[order] = out[np.cumsum(new) - 1] if len(h) else False
-    return flags
+def _told(told: list[bytes] | None, number: np.ndarray) -> np.ndarray:
+    """Whether each identifier of a block is repeated; number: which of the different ones it is."""
+    flags = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+    for at in told or []:
+        flags[np.frombuffer(at, np.int32)] = True
+    return flags[number]
 
 
 def _sources() -> Iterator[int]:
@@ -202,118 +238,97 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
     bounded_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     steps = levels(window, shortest)
-    own = F.coalesce(F.col(text), F.lit(""))
-    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("\u0001"), own).cast("binary"), 256))
-    docs = df.select(F.col(doc_id).alias("doc_id"), own.alias("text"), key.alias("key"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), row_key(doc_id, text).alias("key"))
+
+    def first_parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The parts of the first length, the windows, each one's part, and the number of parts of each text."""
+        h, windows, part = words.parts(steps[0], words.whole)
+        place = np.searchsorted(windows, words.first)  # of each text's first window
+        bounds = np.append(part, len(h))[place] if len(part) else np.zeros(len(place), np.int64)
+        return h, windows, part, np.diff(np.minimum(bounds, len(h)))
 
     # The first length, over all documents: a row for each block.
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = _sources()
         for block in blocks(batches, "text", BLOCK):
             words = Words(block.column("text"), window)
-            h, windows, part = words.parts(steps[0], words.whole)
+            h, _, _, counts = first_parts(words)
             raw = words.data.tobytes()
             sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)]
-            place = np.searchsorted(windows, words.first)  # of each text's first window
-            bounds = np.append(part, len(h))[place] if len(part) else np.zeros(len(place), np.int64)
-            bounds = np.minimum(bounds, len(h))
+            kept, number = _sent(h, None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([next(sources)], pa.int64()), _list(block.column("doc_id")), _list(block.column("key")), _list(pa.array(words.count.astype(np.int64))), _list(pa.array(sha, pa.string())), _list(pa.array(np.diff(bounds).astype(np.int64))), pa.array([h.tobytes()], pa.binary()), pa.array([len(h)], pa.int64())],
-                ["src", "doc_id", "key", "n_words", "sha", "parts", "h", "n"],
+                [pa.array([next(sources)], pa.int64()), _list(block.column("doc_id")), _list(block.column("key")), _list(pa.array(words.count.astype(np.int64))), _list(pa.array(sha, pa.string())), _list(pa.array(counts.astype(np.int64))), pa.array([number.astype(np.int32).tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in kept)],
+                ["src", "doc_id", "key", "n_words", "sha", "parts", "number", "h", "c", "twice"],
             )
 
-    state = materialise(docs.mapInArrow(survey, f"src long, doc_id array<{kind}>, key array<binary>, n_words array<long>, sha array<string>, parts array<long>, h binary, n long"), "survey")
-    total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def surveyed(row: pa.RecordBatch) -> Iterator[tuple]:
-        yield row.column("src")[0].as_py(), np.frombuffer(row.column("h")[0].as_py(), np.uint64), None
+    state = materialise(docs.mapInArrow(survey, f"src long, doc_id array<{kind}>, key array<binary>, n_words array<long>, sha array<string>, parts array<long>, number binary, h binary, c binary, twice binary"), "survey")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                flags = _flags(row.column("told")[0].as_py(), np.frombuffer(row.column("h")[0].as_py(), np.uint64), None)
+                flags = _told(row.column("told")[0].as_py(), np.frombuffer(row.column("number")[0].as_py(), np.int32))
                 edges = np.cumsum(row.column("parts").flatten().to_numpy())[:-1]
                 bits = [_packed(x) if x.any() else None for x in np.split(flags, edges)]
                 yield pa.RecordBatch.from_arrays([*(row.column(c).flatten() for c in ("doc_id", "key", "n_words", "sha")), pa.array(bits, pa.binary())], ["doc_id", "key", "n_words", "sha", "bits"])
 
-    told = _with_buckets(repeated(state, surveyed, total, ["src", "h"]), total)
-    found = materialise(state.join(told, "src", "left").select("doc_id", "key", "n_words", "sha", "parts", "h", "told").mapInArrow(report, f"doc_id {kind}, key binary, n_words long, sha string, bits binary"), "found")
+    told = repeated(_rows(state, False), ["h"])
+    found = materialise(state.join(told, "src", "left").select("doc_id", "key", "n_words", "sha", "parts", "number", "told").mapInArrow(report, f"doc_id {kind}, key binary, n_words long, sha string, bits binary"), "found")
     discard(state)
     clean = found.filter("bits IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
 
-    # Documents with candidates, with their text: again a row for each block.
+    # Documents with candidates, with their text: again a row for each block, and what it counts at the next length.
     marked = found.filter("bits IS NOT NULL").select("key", "bits").dropDuplicates(["key"])
 
-    def alive_after(words: Words, length: int, alive: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        _, windows, part = words.parts(length, alive)
-        out = np.zeros(len(alive), bool)
-        out[windows] = flags[part]
-        return out
+    def block_row(src: int, ids: pa.Array, texts: pa.Array, words: Words, alive: np.ndarray, length: int) -> pa.RecordBatch:
+        if length == window:
+            at = np.flatnonzero(alive)
+            kept, number = _sent(*words.digests(window, at))
+        else:
+            h, _, part = words.parts(length, alive)
+            kept, number = _sent(h, None)
+            number = number[part]
+        cells = [_packed(alive), number.astype(np.int32).tobytes(), *kept]
+        return pa.RecordBatch.from_arrays([pa.array([src], pa.int64()), _list(ids), _list(texts), *(pa.array([x], pa.binary()) for x in cells)], ["src", "doc_id", "text", "alive", "number", "h", "c", "twice"])
+
+    rest = steps[1:] or steps
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = _sources()
         for block in blocks(batches, "text", BLOCK):
             words = Words(block.column("text"), window)
-            h, windows, part = words.parts(steps[0], words.whole)
-            place = np.searchsorted(windows, words.first)
-            bounds = np.minimum(np.append(part, len(h))[place], len(h)) if len(part) else np.zeros(len(place), np.int64)
-            flags = np.concatenate([np.zeros(0, bool), *(_unpacked(b, n) for b, n in zip(block.column("bits").to_pylist(), np.diff(bounds).tolist(), strict=True))])
+            _, windows, part, counts = first_parts(words)
+            flags = np.concatenate([np.zeros(0, bool), *(_unpacked(b, n) for b, n in zip(block.column("bits").to_pylist(), counts.tolist(), strict=True))])
             alive = np.zeros(len(words.begin), bool)
             alive[windows] = flags[part]
-            yield _block(next(sources), block.column("doc_id"), block.column("text"), alive)
-
-    def _block(src: int, ids: pa.Array, texts: pa.Array, alive: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([src], pa.int64()), _list(ids), _list(texts), pa.array([_packed(alive)], pa.binary()), pa.array([int(alive.sum())], pa.int64())], ["src", "doc_id", "text", "alive", "n"])
+            yield block_row(next(sources), block.column("doc_id"), block.column("text"), words, alive, rest[0])
 
-    schema = f"src long, doc_id array<{kind}>, text array<string>, alive binary, n long"
+    schema = f"src long, doc_id array<{kind}>, text array<string>, alive binary, number binary, h binary, c binary, twice binary"
     stage = materialise(docs.join(marked, "key").select("doc_id", "text", "bits").mapInArrow(admit, schema), "candidates")
+    for length, after in zip(rest, [*rest[1:], None], strict=True):
 
-    def opened(row: pa.RecordBatch) -> tuple[Words, np.ndarray]:
-        words = Words(row.column("text").flatten(), window)
-        return words, _unpacked(row.column("alive")[0].as_py(), len(words.begin))
-
-    for length in steps[1:] or steps:
-        last = length == window
-        total = stage.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-        def counted(row: pa.RecordBatch, length=length, last=last) -> tuple[np.ndarray, np.ndarray | None]:
-            words, alive = opened(row)
-            h, windows, _ = words.parts(length, alive)
-            return h, (words.hashes(length, 2)[windows] >> np.uint64(32)).astype(np.uint32) if last else None
-
-        def sent(row: pa.RecordBatch, counted=counted) -> Iterator[tuple]:
-            yield row.column("src")[0].as_py(), *counted(row)
-
-        told = _with_buckets(repeated(stage, sent, total, ["src", "text", "alive"]), total)
-
-        def settle(batches: Iterator[pa.RecordBatch], length=length, last=last, counted=counted) -> Iterator[pa.RecordBatch]:
+        def settle(batches: Iterator[pa.RecordBatch], after=after) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1)
-                    words, alive = opened(row)
-                    flags = _flags(row.column("told")[0].as_py(), *counted(row))
-                    alive = alive_after(words, length, alive, flags)
-                    if last:
+                    words = Words(row.column("text").flatten(), window)
+                    alive = _unpacked(row.column("alive")[0].as_py(), len(words.begin))
+                    alive[alive] = _told(row.column("told")[0].as_py(), np.frombuffer(row.column("number")[0].as_py(), np.int32))
+                    if after is None:
                         yield _removed(row, words, alive)
                     else:
-                        yield _block(row.column("src")[0].as_py(), row.column("doc_id").flatten(), row.column("text").flatten(), alive)
+                        yield block_row(row.column("src")[0].as_py(), row.column("doc_id").flatten(), row.column("text").flatten(), words, alive, after)
 
-        joined = stage.join(told, "src", "left").select("src", "doc_id", "text", "alive", "told")
+        last = length == window
+        told = repeated(_rows(stage, last), ["h", "c"] if last else ["h"])
+        joined = stage.join(told, "src", "left").select("src", "doc_id", "text", "alive", "number", "told")
         if last:
-            out = joined.mapInArrow(settle, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-            return clean.unionByName(out)
+            return clean.unionByName(joined.mapInArrow(settle, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
         before, stage = stage, materialise(joined.mapInArrow(settle, schema), "candidates")
         discard(before)
     raise AssertionError("the last length is the window")
 
 
-def _with_buckets(told: DataFrame, total: int) -> DataFrame:
-    """told, and in each piece how many buckets there were."""
-    buckets = max(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    return told.select("src", F.transform("told", lambda x: x.withField("buckets", F.lit(buckets))).alias("told"))
-
-
 def _removed(row: pa.RecordBatch, words: Words, alive: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(alive)
     depth = np.zeros(len(words.begin) + 1, np.int64)

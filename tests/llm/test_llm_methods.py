@@ -177,13 +177,13 @@ def test_blocks_of_a_component_lose_nothing(spark, monkeypatch):
 
 def test_components(spark):
     rng = random.Random(5)
-    edges = [(f"n{rng.randrange(300):03}", f"n{rng.randrange(300):03}") for _ in range(220)] + [(f"p{k:03}", f"p{k + 1:03}") for k in range(60)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
     root = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
-    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()} == want
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
 def test_decontamination(spark):
