@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a finished execution's shuffle files are deleted at once, not when the driver's garbage is.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     return (
@@ -40,10 +44,20 @@ def _root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    path = f"{_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The shuffle files that
+    it took are deleted at once."""
+    spark = df.sparkSession
+    path = f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._orbweave_path = path
     return out
 
