@@ -58,10 +58,13 @@ class Words:
         self.count = np.diff(self.first)
         stop = np.repeat(self.first[1:], self.count)
         self.whole = np.arange(len(self.begin)) + window <= stop  # at which words a window starts
+        self._one: np.ndarray | None = None
 
     def hashes(self, length: int) -> np.ndarray:
         """A hash of the `length` words from each word on (meaningless where a text ends before); equal words have equal hashes."""
-        return self._doubled(span_hashes(self.data, self.begin, self.end), length, lambda a, b: mix64(a * np.uint64(0xD6E8FEB86659FD93) + b))
+        if self._one is None:
+            self._one = span_hashes(self.data, self.begin, self.end)
+        return self._doubled(self._one, length, lambda a, b: mix64(a * np.uint64(0xD6E8FEB86659FD93) + b))
 
     def numbers(self, length: int) -> np.ndarray:
         """As hashes, but exact: within the block, equal numbers mean equal words."""
