@@ -34,14 +34,14 @@ def test_a_false_identifier_is_found(spark):
 def test_language_id(edge, nothing, spark):
     train = spark.createDataFrame([("en", "the cat and the dog"), ("fr", "le chat et le chien"), (None, "the"), ("xx", None), ("yy", "123")], "lang string, text string")
     prototypes = language_id.learn(train)
-    rows = language_id.predict(edge.drop("score"), prototypes).collect()
+    rows = language_id.predict(edge, prototypes).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] in ("en", "fr")) == letters and 0 <= r["score"] <= 1
         assert letters or (r["lang_pred"], r["score"]) == ("und", 0)
-    assert {r["lang_pred"] for r in language_id.predict(edge.drop("score"), {}).collect()} == {"und"}
-    assert language_id.learn(train.limit(0)) == {} and language_id.predict(nothing.drop("score"), prototypes).count() == 0
+    assert {r["lang_pred"] for r in language_id.predict(edge, {}).collect()} == {"und"}
+    assert language_id.learn(train.limit(0)) == {} and language_id.predict(nothing, prototypes).count() == 0
 
 
 def test_substring_dedup(edge, nothing):
@@ -75,7 +75,12 @@ def test_sharding(edge, nothing):
 
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x", "https://example.com/en/6", "x://net/de/9", "x://a.example.net/de/8", "x://b.org/es/#", "x://spam-farm.example.org/en/1", "x://xcom/en/", "x://a.com?/en/", "http://é.com/en/ü", "x://" + "a" * 5000 + ".com/en/"]
-    rows = {r["url"]: r for r in url_filter.url_filter(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id int, url string, host string")).collect()}
+    urls += ["x://a.org/es/" + "q" * 200_000, "x://b.org/es/#"]
+    method = [url_filter.Rule("block", "", "*.spam-**")]
+    found = url_filter.url_filter(spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id int, url string, host string, rule string"), method=method)
+    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and found.count() == len(urls)
+    rows = {r["url"]: r for r in found.collect()}
+    assert rows[urls[14]]["rule"] == "org/es/" and rows[urls[14]]["verdict"] == "block"
     assert (rows[None]["host"], rows[None]["path"], rows[None]["rule"], rows[None]["verdict"]) == ("", "", None, "allow")
     assert (rows[urls[4]]["host"], rows[urls[4]]["rule"], rows[urls[4]]["verdict"]) == ("a.example.com", "example.com/en/7", "allow")
     assert [rows[u]["rule"] for u in urls[5:14]] == ["com/en/", "net/de/", "example.net/de/8", "org/es/", None, None, None, "com/en/", "com/en/"]
@@ -110,7 +115,8 @@ def test_decontamination(edge, nothing, spark):
 
 def test_byte_bpe(edge, nothing):
     rows = byte_bpe.encode(edge).collect()
-    assert len(rows) == len(TEXTS) and all(r["ids"] == [] for r in rows if not r["text" if "text" in r else "ids"])
+    assert len(rows) == len(TEXTS) and sorted(r["doc_id"] or 0 for r in rows if not r["ids"]) == sorted(i or 0 for i, t in TEXTS if not t)
+    assert byte_bpe.encode(edge.withColumn("ids", edge["key"])).collect() == byte_bpe.encode(edge).collect()
     back = byte_bpe.decode(byte_bpe.encode(edge)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in back) == sorted((i or 0, t or "") for i, t in TEXTS)
     assert byte_bpe.digests(nothing).count() == 0 and byte_bpe.encode(nothing).count() == 0
@@ -119,7 +125,7 @@ def test_byte_bpe(edge, nothing):
 def test_pii(edge, nothing):
     rows = {r["doc_id"]: r for r in pii.find_pii(edge).collect()}
     text = TEXTS[-1][1]
-    assert [(s["kind"], text[s["start"] : s["end"]]) for s in rows[14]["spans"]] == [("email", "a.b@c.de"), ("phone", "+1 (743) 555-3824 4"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.25")] or rows[14]["spans"]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in rows[14]["spans"]] == [("email", "a.b@c.de"), ("ip", "10.0.0.25")]
     assert rows[1]["spans"] == [] and rows[7]["spans"] == []
     clean = {r["doc_id"]: r["text"] for r in pii.masked(edge).collect()}
     assert "a.b@c.de" not in clean[14] and "<email>" in clean[14] and clean[11] == TEXTS[12][1] and clean[1] is None
