@@ -1,7 +1,8 @@
 """GeoTIFF files as pixel tables, and back. Files are read block by block: each strip or tile of the file is a partition of its own.
 
-Read: uncompressed, deflate and PackBits, strips or tiles, either planar layout, integer and floating samples, horizontal differencing. Written: one strip per
-run of rows, deflate, with the grid's transform, coordinate system and nodata.
+Read: uncompressed, LZW, deflate, PackBits and (where its library is there) Zstandard, strips or tiles, either planar layout, integer and floating
+samples, horizontal differencing and the floating-point predictor. Written: one strip per run of rows, deflate, with the grid's transform, coordinate
+system and nodata; as BigTIFF where offsets need more than 32 bits.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ class Header:
     tiled: bool
     offsets: tuple[int, ...]
     counts: tuple[int, ...]
+    geographic: bool = False
 
 
 def header(path: str) -> Header:
@@ -108,13 +110,49 @@ def header(path: str) -> Header:
     block = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(height, one(ROWS_PER_STRIP, height)), width)
     return Header(
         Grid(width, height, transform, f"EPSG:{number}" if number and number != 32767 else None, nodata), bands, f"{kind}{one(BITS, 8) // 8}", order, one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1), block, tiled,
-        tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS],
+        tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], codes.get(1024) == 2 or (1024 not in codes and number == 4326),
     )
 
 
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first, one bit longer a code early; 256 clears the table, 257 ends."""
+    out, at, held, bits, size = bytearray(), 0, 0, 0, 9
+    start = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, last = list(start), b""
+    while True:
+        while bits < size:
+            if at >= len(data):
+                return bytes(out)
+            held, bits, at = held << 8 | data[at], bits + 8, at + 1
+        bits -= size
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            table, last, size = list(start), b"", 9
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("A block's LZW codes are damaged.")
+        own = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + own[:1])
+        last = own
+        out += own
+        size = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
 def _unpacked(data: bytes, compression: int) -> bytes:
     if compression == 1:
         return data
+    if compression == 5:
+        return _lzw(data)
+    if compression == 50000:
+        try:
+            import zstandard
+        except ImportError as why:
+            raise ValueError("Reading Zstandard TIFF files needs the zstandard library.") from why
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
     if compression in (8, 32946):
         return zlib.decompress(data)
     if compression == 32773:
@@ -146,10 +184,16 @@ def read_block(path: str, h: Header, k: int) -> tuple[int, int, np.ndarray]:
             data = _unpacked(f.read(h.counts[at]), h.compression)
             n = 1 if h.planar == 2 else h.bands
             have = rows if h.tiled else min(rows, h.grid.height - r0)
-            a = np.frombuffer(data, np.dtype(h.order + h.dtype), have * cols * n).reshape(have, cols, n)
+            kind = np.dtype(h.order + h.dtype)
+            if h.predictor == 3:  # a row's bytes, most significant ones first, each as its difference from that of the sample before
+                raw = np.frombuffer(data, np.uint8, have * cols * n * kind.itemsize).reshape(have, -1, n)
+                raw = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(have, kind.itemsize, cols * n)
+                a = np.ascontiguousarray(raw.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(have, cols, n)
+            else:
+                a = np.frombuffer(data, kind, have * cols * n).reshape(have, cols, n)
             if h.predictor == 2:
                 a = np.cumsum(a, axis=1, dtype=a.dtype)
-            elif h.predictor != 1:
+            elif h.predictor not in (1, 3):
                 raise ValueError(f"Unsupported TIFF predictor: {h.predictor}")
             planes.append(a)
     out = np.concatenate(planes, axis=2)[: h.grid.height - r0, : h.grid.width - c0]
@@ -168,16 +212,18 @@ def read_array(path: str) -> tuple[np.ndarray, Header]:
     return out, h
 
 
-def write_array(path: str, values: np.ndarray, grid: Grid) -> None:
-    """A raster (rows, columns, bands) as a file; its folder is made."""
+def write_array(path: str, values: np.ndarray, grid: Grid, big: bool = False) -> None:
+    """A raster (rows, columns, bands) as a file; its folder is made. big: with 64-bit offsets in any case."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     height, width, bands = values.shape
     rows = max(1, min(height, 1_000_000 // max(1, width * bands * values.dtype.itemsize)))
     strips = [zlib.compress(np.ascontiguousarray(values[r : r + rows]).astype(values.dtype.newbyteorder("<")).tobytes()) for r in range(0, height, rows)]
-    offsets = np.cumsum([8, *map(len, strips)]).tolist()
+    big = big or sum(map(len, strips)) > 2**32 - 2**24
+    offsets = np.cumsum([16 if big else 8, *map(len, strips)]).tolist()
+    wide, word, count, room = (16, "<Q", "<Q", 8) if big else (4, "<I", "<H", 4)
     a, b, x, d, e, y = map(float, grid.transform)
     kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
-    tags = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [values.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [8]), (262, 3, [1]), (STRIP_OFFSETS, 4, offsets[:-1]), (SAMPLES, 3, [bands]), (ROWS_PER_STRIP, 4, [rows]), (STRIP_COUNTS, 4, [len(s) for s in strips]), (PLANAR, 3, [1]), (FORMAT, 3, [kind] * bands)]
+    tags = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [values.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [8]), (262, 3, [1]), (STRIP_OFFSETS, wide, offsets[:-1]), (SAMPLES, 3, [bands]), (ROWS_PER_STRIP, 4, [rows]), (STRIP_COUNTS, 4, [len(s) for s in strips]), (PLANAR, 3, [1]), (FORMAT, 3, [kind] * bands)]
     tags += [(MATRIX, 12, [a, b, 0.0, x, d, e, 0.0, y, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
     if grid.crs:
         n = int(grid.crs.split(":")[1])
@@ -190,16 +236,18 @@ def write_array(path: str, values: np.ndarray, grid: Grid) -> None:
     more, entries = b"", b""
     for tag, code, value in sorted(tags, key=lambda t: t[0]):
         raw = value if code == 2 else struct.pack(f"<{len(value)}{_CODES[code]}", *value)
-        if len(raw) > 4:
-            place = at + 2 + 12 * len(tags) + 4 + len(more)
+        if len(raw) > room:
+            place = at + struct.calcsize(count) + (4 + 2 * room) * len(tags) + room + len(more)
             more += raw + b"\0" * (len(raw) % 2)
-            own = struct.pack("<I", place)
+            own = struct.pack(word, place)
         else:
-            own = raw.ljust(4, b"\0")
-        entries += struct.pack("<HHI", tag, code, len(value)) + own
+            own = raw.ljust(room, b"\0")
+        entries += struct.pack("<HH", tag, code) + struct.pack(word, len(value)) + own
     with open(path, "wb") as out:
-        out.write(b"II*\0" + struct.pack("<I", at) + b"".join(strips) + b"\0" * (offsets[-1] % 2))
-        out.write(struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + more)
+        out.write((b"II+\0" + struct.pack("<HH", 8, 0) if big else b"II*\0") + struct.pack(word, at))
+        for strip in strips:
+            out.write(strip)
+        out.write(b"\0" * (offsets[-1] % 2) + struct.pack(count, len(tags)) + entries + b"\0" * room + more)
 
 
 class RasterSource(DataSource):
