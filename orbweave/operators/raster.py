@@ -98,28 +98,102 @@ def align(source: DataFrame, grid: Grid, template: Grid) -> DataFrame:
     """
     if grid.same(template):
         return source
+    at = _places(source.sparkSession, grid, template).select("r", "c", F.floor("u").cast("int").alias("sc"), F.floor("v").cast("int").alias("sr"))
+    inside = at.filter(F.col("sc").between(0, grid.width - 1) & F.col("sr").between(0, grid.height - 1))
+    found = inside.join(source.withColumnsRenamed({"r": "sr", "c": "sc"}), ["sr", "sc"]).drop("sr", "sc")
+    return at.select("r", "c").join(found, ["r", "c"], "left")
+
+
+def _places(spark: SparkSession, grid: Grid, template: Grid) -> DataFrame:
+    """r, c, u, v: where each template cell's centre lies in a grid, as columns and rows from its corner."""
     if grid.crs is None or template.crs is None:
         raise ValueError("Rasters on different grids must all have a CRS so they can be aligned.")
-    spark = source.sparkSession
     cells = spark.range(template.width * template.height).select(F.floor(F.col("id") / template.width).cast("int").alias("r"), F.pmod(F.col("id"), F.lit(template.width)).cast("int").alias("c"))
     x, y = template.centre(F.col("r"), F.col("c"))
     a, b, x0, d, e, y0 = grid.inverse()
     if C.code(grid.crs) == C.code(template.crs):
-        at = cells.select("r", "c", F.floor(a * x + b * y + x0).cast("int").alias("sc"), F.floor(d * x + e * y + y0).cast("int").alias("sr"))
-    else:
-        import pandas as pd
+        return cells.select("r", "c", (a * x + b * y + x0).alias("u"), (d * x + e * y + y0).alias("v"))
+    import pandas as pd
 
-        to, of = grid.crs, template.crs
+    to, of = grid.crs, template.crs
 
-        @F.pandas_udf("sc int, sr int")
-        def place(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-            p, q = C.transform(of, to, x.to_numpy(), y.to_numpy())
-            return pd.DataFrame({"sc": np.floor(a * p + b * q + x0).astype("int32"), "sr": np.floor(d * p + e * q + y0).astype("int32")})
+    @F.pandas_udf("u double, v double")
+    def place(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        p, q = C.transform(of, to, x.to_numpy(), y.to_numpy())
+        return pd.DataFrame({"u": a * p + b * q + x0, "v": d * p + e * q + y0})
 
-        at = cells.select("r", "c", place(x, y).alias("s")).select("r", "c", "s.sc", "s.sr")
-    inside = at.filter(F.col("sc").between(0, grid.width - 1) & F.col("sr").between(0, grid.height - 1))
-    found = inside.join(source.withColumnsRenamed({"r": "sr", "c": "sc"}), ["sr", "sc"]).drop("sr", "sc")
-    return at.select("r", "c").join(found, ["r", "c"], "left")
+    return cells.select("r", "c", place(x, y).alias("s")).select("r", "c", "s.u", "s.v")
+
+
+def cubic(f: np.ndarray) -> np.ndarray:
+    """The weights of the four neighbours in a row, two before and two after, of places f (0 to 1) between the middle two: Keys' kernel, a = -1/2."""
+    t = np.stack([1 + f, f, 1 - f, 2 - f], axis=-1)
+    return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0))
+
+
+def resampled(source: DataFrame, grid: Grid, template: Grid, nodata: float = 0.0, shape: tuple[int, int] = (128, 128)) -> DataFrame:
+    """A raster on another grid by bicubic interpolation: r, c, bands of the template cells whose centre falls in a cell with data.
+
+    Of the sixteen cells around, those with data (a band other than nodata) share the weight, so nodata doesn't bleed in. Template cells go to the
+    block of the source that they fall in; a block carries a halo of two cells, and a task holds one block.
+    """
+    if grid.same(template):
+        return source.filter(F.exists("bands", lambda x: x != nodata))
+    at = _places(source.sparkSession, grid, template).filter(F.col("u").between(0, grid.width - 1e-9) & F.col("v").between(0, grid.height - 1e-9))
+    rows, cols = shape
+    at = at.select("r", "c", "u", "v", F.floor(F.col("v") / rows).cast("int").alias("br"), F.floor(F.col("u") / cols).cast("int").alias("bc"))
+    pixels = blocks(source.select("r", "c", F.transform("bands", lambda x: x.cast("double")).alias("bands")), grid.width, grid.height, shape, 2).select("br", "bc", "r", "c", "bands")
+
+    def gather(key: tuple, cells: pa.Table, pixels: pa.Table) -> pa.Table:
+        schema = pa.schema([("r", pa.int32()), ("c", pa.int32()), ("bands", pa.list_(pa.float64()))])
+        if not cells.num_rows or not pixels.num_rows:
+            return schema.empty_table()
+        r, c = pixels.column("r").to_numpy(), pixels.column("c").to_numpy()
+        values = np.array(pixels.column("bands").to_pylist(), float)
+        r0, c0 = int(r.min()) - 2, int(c.min()) - 2
+        held = np.zeros((int(r.max()) - r0 + 3, int(c.max()) - c0 + 3, values.shape[1]))
+        some = np.zeros(held.shape[:2], bool)
+        held[r - r0, c - c0] = values
+        some[r - r0, c - c0] = (values != nodata).any(axis=1)
+        u, v = cells.column("u").to_numpy(), cells.column("v").to_numpy()
+        inside = (np.floor(v) >= r0) & (np.floor(v) < r0 + held.shape[0]) & (np.floor(u) >= c0) & (np.floor(u) < c0 + held.shape[1])
+        inside[inside] = some[np.floor(v[inside]).astype(int) - r0, np.floor(u[inside]).astype(int) - c0]
+        u, v = u[inside] - 0.5, v[inside] - 0.5
+        i, j = np.floor(v).astype(int), np.floor(u).astype(int)
+        wr, wc = cubic(v - i), cubic(u - j)
+        total, out = np.zeros(len(u)), np.zeros((len(u), values.shape[1]))
+        for dr in range(4):
+            for dc in range(4):
+                y, x = np.clip(i + dr - 1 - r0, 0, held.shape[0] - 1), np.clip(j + dc - 1 - c0, 0, held.shape[1] - 1)
+                w = wr[:, dr] * wc[:, dc] * some[y, x]
+                total += w
+                out += w[:, None] * held[y, x]
+        out /= np.where(np.abs(total) > 1e-9, total, 1)[:, None]
+        own = cells.filter(pa.array(inside))
+        return pa.table({"r": own.column("r").cast(pa.int32()), "c": own.column("c").cast(pa.int32()), "bands": pa.array(out.tolist(), pa.list_(pa.float64()))})
+
+    return at.groupBy("br", "bc").cogroup(pixels.groupBy("br", "bc")).applyInArrow(gather, "r int, c int, bands array<double>")
+
+
+def edge_distance(cells: DataFrame, by: str) -> DataFrame:
+    """cells (by, r, c: those with data, each once) with edge: the distance, in cells, to the nearest cell without data, border and all.
+
+    Exact, in two passes: along each column runs of data know their ends, and across each row the lower envelope of what these leave.
+    """
+    order = Window.partitionBy(by, "c").orderBy("r")
+    runs = cells.select(by, "r", "c").withColumn("_run", F.col("r") - F.row_number().over(order))
+    run = Window.partitionBy(by, "c", "_run")
+    passed = runs.select(by, "r", "c", F.least(F.col("r") - F.min("r").over(run), F.max("r").over(run) - F.col("r")).cast("double").alias("g"))
+    kind = dict(cells.dtypes)[by]
+
+    def across(key: tuple, group: pa.Table) -> pa.Table:
+        c = group.column("c").to_numpy()
+        g = np.zeros(int(c.max() - c.min()) + 3)
+        g[c - c.min() + 1] = group.column("g").to_numpy() + 1
+        return pa.table({by: group.column(by), "r": group.column("r"), "c": group.column("c"), "edge": pa.array(np.sqrt(envelope(g * g, 1.0))[c - c.min() + 1])})
+
+    types = dict(passed.dtypes)
+    return passed.groupBy(by, "r").applyInArrow(across, f"{by} {kind}, r {types['r']}, c {types['c']}, edge double")
 
 
 def paired(strips: Sequence[str], masks: Sequence[str]) -> list[tuple[str, str]]:

@@ -1,7 +1,7 @@
 """Mosaics: strips masked by usability, brought to one coordinate system and grid, blended, and given NDVI.
 
-Strips are blended by a feather whose weight grows with the distance to the strip's edge, over the strips that have data in a cell; resampling takes the
-nearest source cell. Both are this engine's own choice of how to blend evenly.
+Strips are brought to the common grid by bicubic interpolation and blended by a feather whose weight is the distance to the edge of a strip's data, over the
+strips that have data in a cell.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ log = logging.getLogger("orbweave.mosaic")
 
 #: Fixed value: the output cell, in units of the coordinate system.
 CELL = 3.0
+#: Fixed value: points between the corners of a strip's side when its bounds go through a coordinate system.
+EDGE = 21
 
 
 @dataclass(frozen=True)
@@ -50,17 +53,24 @@ class ProjectionInfo:
 
 
 def projection(path: str, grid: R.Grid) -> ProjectionInfo:
-    """A strip's coordinate system and its centre in degrees; in its own units where that can't be computed."""
+    """A strip's coordinate system and its centre: that of its bounds in degrees, which follow EDGE points more along each side; in its own units where that
+    can't be computed."""
     if grid.crs is None:
         raise ValueError(f"{path} has no CRS.")
     a, b, x, d, e, y = grid.transform
-    cx, cy = x + a * grid.width / 2 + b * grid.height / 2, y + d * grid.width / 2 + e * grid.height / 2
+    corners = [(x + a * i + b * j, y + d * i + e * j) for i in (0, grid.width) for j in (0, grid.height)]
+    (left, right), (bottom, top) = [(min(v), max(v)) for v in zip(*corners, strict=True)]
+    across, up = np.linspace(left, right, EDGE + 2), np.linspace(bottom, top, EDGE + 2)
+    xs = np.concatenate([across, across, np.full(EDGE + 2, left), np.full(EDGE + 2, right)])
+    ys = np.concatenate([np.full(EDGE + 2, bottom), np.full(EDGE + 2, top), up, up])
     try:
-        lon, lat = C.transform(grid.crs, "EPSG:4326", [cx], [cy])
-        centre = float(lon[0]), float(lat[0])
+        lon, lat = C.transform(grid.crs, "EPSG:4326", xs, ys)
+        if not (np.isfinite(lon).all() and np.isfinite(lat).all()):
+            raise ValueError("outside the system's area")
+        centre = float(lon.min() + lon.max()) / 2, float(lat.min() + lat.max()) / 2
     except ValueError:
         log.warning("The centre of %s can't be given in degrees.", path)
-        centre = cx, cy
+        centre = (left + right) / 2, (bottom + top) / 2
     return ProjectionInfo(path, grid.crs, C.label(grid.crs), centre)
 
 
@@ -79,14 +89,13 @@ def target_crs(spark: SparkSession, infos: Sequence[ProjectionInfo], asked: str
 
 
 def blend(pixels: DataFrame, bands: Sequence[str], nodata: float = 0.0, by: str = "strip") -> DataFrame:
-    """r, c, the bands and the number of strips: the mean of the strips that have data in a cell, weighted by the cell's distance to the edge of its
-    strip. The edges are those of the strip's box of cells."""
+    """r, c, the bands and the number of strips: the mean of the strips that have data in a cell, weighted by the cell's distance to the nearest
+    cell where the strip has none."""
     some = F.lit(False)
     for b in bands:
         some = some | (F.col(b) != nodata)
-    box = pixels.groupBy(by).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    weight = F.least(F.col("r") - F.col("r0"), F.col("r1") - F.col("r"), F.col("c") - F.col("c0"), F.col("c1") - F.col("c")) + 1
-    weighed = pixels.filter(some).join(box, by).withColumn("w", weight.cast("double"))  # a row for each strip: Spark sees how small
+    there = pixels.filter(some)
+    weighed = there.join(R.edge_distance(there, by).withColumnRenamed("edge", "w"), [by, "r", "c"])
     return weighed.groupBy("r", "c").agg(*[(F.sum(F.col("w") * F.col(b)) / F.sum("w")).alias(b) for b in bands], F.count("*").alias("strips"))
 
 
@@ -141,7 +150,7 @@ class MosaicWorkflow:
         grid = R.Grid(size(xs), size(ys), (CELL, 0.0, min(xs), 0.0, -CELL, max(ys)), crs, (0.0,))
         strips = None
         for k, (_, pixels, g) in enumerate(tables):
-            own = R.align(pixels, g, grid).filter("bands IS NOT NULL").withColumn("strip", F.lit(k))
+            own = R.resampled(pixels, g, grid).select("r", "c", F.transform("bands", lambda x: x.cast("double")).alias("bands")).withColumn("strip", F.lit(k))
             strips = own if strips is None else strips.unionByName(own)
         strips = materialise(strips, "strips")
         n = strips.select(F.max(F.size("bands"))).first()[0] or 0
