@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +53,10 @@ def crs_counts(meta: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).select("label", "n", (F.col("n") == F.col("most")).alias("majority"))
 
 
-def crs_choice(meta: DataFrame, slack: int = 0) -> DataFrame:
-    """One row, label and d2: of the most frequent systems (within slack strips) the one with a strip nearest to the mean centre of all,
-    then the first by label."""
+def crs_choice(meta: DataFrame) -> DataFrame:
+    """One row, label and d2: of the most frequent systems the one with a strip nearest to the mean centre of all, then the first by label."""
     n = meta.groupBy("label").agg(F.count("*").alias("n"))
-    top = n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).filter(F.col("n") >= F.col("most") - slack).select("label")
+    top = n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).filter(F.col("n") == F.col("most")).select("label")
     mean = meta.agg(F.avg("lon").alias("x"), F.avg("lat").alias("y"))
     near = meta.join(top, "label").crossJoin(F.broadcast(mean)).groupBy("label").agg(F.min(F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)).alias("d2"))
     return near.agg(F.min(F.struct(F.round("d2", 6).alias("r"), "label", "d2")).alias("b")).select("b.label", "b.d2")
@@ -78,7 +81,31 @@ def missing_assets(assets: Column, sr_bands: int) -> Column:
     return F.when(F.size(F.coalesce(assets, F.array().cast("array<string>"))) > 0, F.array_except(wanted, assets)).otherwise(F.array().cast("array<string>"))
 
 
-def requests(batched: DataFrame, by: str, prefix: str, product: str, archive_type: str | None = "zip", single_archive: bool = True) -> DataFrame:
+def lookup(catalog: DataFrame, ids: DataFrame | Sequence[str]) -> DataFrame:
+    """The catalog's items (item_id) that a list, or a table with item_id, names; each once. Blank ids name nothing."""
+    if not isinstance(ids, DataFrame):
+        ids = catalog.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids) if i], "item_id string")
+    return catalog.join(ids.select("item_id").filter("item_id <> ''").distinct(), "item_id", "left_semi").dropDuplicates(["item_id"])
+
+
+def asset_keys(assets: Column) -> Column:
+    """The names of an item's assets (a map), in order."""
+    return F.sort_array(F.map_keys(assets))
+
+
+def asset_preview(names: Column, most: int = 6) -> Column:
+    """The first of an item's asset names, in order, as text, and dots if there are more."""
+    return F.concat(F.array_join(F.slice(F.sort_array(names), 1, most), ", "), F.when(F.size(names) > most, ", ...").otherwise(""))
+
+
+def basic_header(key: str | None) -> str:
+    """The value of an Authorization header for a service key; an empty key is an error."""
+    if not key or not key.strip():
+        raise ValueError("A service key is needed.")
+    return "Basic " + base64.b64encode(f"{key.strip()}:".encode()).decode()
+
+
+def requests(batched: DataFrame, by: str, prefix: str, product: str, archive_type: str | None = "zip", single_archive: bool = True, tools: Sequence[dict] = ()) -> DataFrame:
     """A request document for each batch: the group, batch, name, and request as JSON text."""
     rows = batched.groupBy(by, "batch").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("items"))  # at most MAX_ITEMS
     name = batch_name(F.concat(F.lit(f"{prefix}_"), F.col(by)), F.col("batch"))
@@ -89,5 +116,10 @@ def requests(batched: DataFrame, by: str, prefix: str, product: str, archive_typ
         parts = [F.lit(kind).alias("archive_type"), F.lit(single_archive).alias("single_archive")]
         if kind == "zip":
             parts.append(F.when(F.lower(name).endswith(".zip"), name).otherwise(F.concat(name, F.lit(".zip"))).alias("archive_filename"))
-    document = F.struct(name.alias("name"), F.lit("scenes").alias("source_type"), F.array(item).alias("products"), *([F.struct(*parts).alias("delivery")] if parts else []))
+    told = json.dumps(list(tools))
+    if tools:  # the same for every request, so its schema is read off the text itself
+        own = [F.from_json(F.lit(told), F.schema_of_json(F.lit(told))).alias("tools")]
+    else:
+        own = []
+    document = F.struct(name.alias("name"), F.lit("scenes").alias("source_type"), F.array(item).alias("products"), *own, *([F.struct(*parts).alias("delivery")] if parts else []))
     return rows.select(by, "batch", name.alias("name"), F.to_json(document).alias("request"))
