@@ -41,7 +41,7 @@ def plan_parser() -> argparse.ArgumentParser:
     p.add_argument("--tile-size-m", type=int, default=1000)
     p.add_argument("--limit", type=int)
     p.add_argument("--out")
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("-v", "--verbose", action="count", default=0)
     return p
 
 
@@ -78,7 +78,7 @@ def order_parser() -> argparse.ArgumentParser:
     p.add_argument("--order-prefix", default="plan")
     p.add_argument("--archive-type", default="zip")
     p.add_argument("--single-archive", action=argparse.BooleanOptionalAction, default=True)
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("-v", "--verbose", action="count", default=0)
     return p
 
 
@@ -104,7 +104,7 @@ def mosaic_parser() -> argparse.ArgumentParser:
     p.add_argument("--sr-bands", type=int, choices=(4, 8), default=4)
     p.add_argument("--ndvi", action="store_true")
     p.add_argument("--target-crs")
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("-v", "--verbose", action="count", default=0)
     return p
 
 
@@ -203,7 +203,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     if not args or args[0] not in COMMANDS:
         print(USAGE, file=sys.stderr)
         return 2
-    logging.basicConfig(level=logging.INFO if {"-v", "--verbose"} & set(args) else logging.WARNING)
+    loud = sum(a == "--verbose" or (a[:1] == "-" and set(a[1:]) == {"v"}) * (len(a) - 1) for a in args)
+    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(loud, 2)])
     return COMMANDS[args[0]](args[1:])
 
 

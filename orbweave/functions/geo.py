@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from . import crs as C
 
@@ -201,15 +201,28 @@ def geojson_touches_box(geometry: pd.Series, xmin: pd.Series, ymin: pd.Series, x
     """Whether each row's geometry (GeoJSON text, in the boxes' coordinates) touches its box."""
     import json
 
-    known: dict[str, Geometry] = {}
-    out = []
-    for text, *sides in zip(geometry, xmin, ymin, xmax, ymax, strict=True):
-        if text not in known:
-            known[text] = Geometry.read(json.loads(text)) if text else Geometry([])
-        out.append(bool(known[text].touches(*(np.array([s], float) for s in sides))[0]))
+    code, texts = pd.factorize(geometry)
+    sides = [s.to_numpy(float) for s in (xmin, ymin, xmax, ymax)]
+    out = np.zeros(len(code), bool)
+    order = np.argsort(code, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):  # a geometry's boxes together
+        if len(own) and code[own[0]] >= 0 and texts[code[own[0]]]:
+            out[own] = Geometry.read(json.loads(texts[code[own[0]]])).touches(*(s[own] for s in sides))
     return pd.Series(out, dtype=bool)
 
 
+@F.pandas_udf(StructType([StructField("vertices", IntegerType()), *(StructField(c, DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax"))]))
+def measures(texts: pd.Series) -> pd.DataFrame:
+    """A geometry's number of vertices (closing ones included) and bounds; null bounds where it is empty."""
+    import json
+
+    rows = []
+    for text in texts:
+        g = Geometry.read(json.loads(text)) if text else Geometry([])
+        rows.append((g.vertices(), *((None,) * 4 if g.empty else g.bounds())))
+    return pd.DataFrame(rows, columns=["vertices", "xmin", "ymin", "xmax", "ymax"])
+
+
 def projected_geojson(source: str | None, target: str) -> Callable[[Column], Column]:
     """GeoJSON text in another coordinate system, with its bounds: a struct (json, xmin, ymin, xmax, ymax); null where empty or unreadable."""
 

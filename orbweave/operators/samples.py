@@ -79,11 +79,23 @@ def split(samples: DataFrame, fraction: float, seed: int = 42) -> tuple[DataFram
     return marked.filter("NOT _held").select(*samples.columns), marked.filter("_held").select(*samples.columns)
 
 
-def class_band_stats(samples: DataFrame) -> DataFrame:
-    """label, band (from 1), n, mean, std: population deviation; NaN counts as no value."""
+def class_band_stats(samples: DataFrame, labels: Sequence[int] | None = None) -> DataFrame:
+    """label, band (from 1), n, mean, std: population deviation; NaN counts as no value. With labels given, each of them has a row for
+    every band: one without samples has n 0 and NaN."""
     each = samples.select("label", F.posexplode("features").alias("band", "v"))
     v = F.when(~F.isnan("v"), F.col("v").cast("double"))
-    return each.groupBy("label", (F.col("band") + 1).alias("band")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    found = each.groupBy("label", (F.col("band") + 1).alias("band")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    if labels is None:
+        return found
+    bands = samples.agg(F.coalesce(F.max(F.size("features")), F.lit(0)).alias("k"))  # one row
+    wanted = samples.sparkSession.createDataFrame([(int(x),) for x in labels], "label int").crossJoin(F.broadcast(bands)).select("label", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("band")).filter("band > 0")
+    nan = F.lit(float("nan"))
+    return wanted.join(found.withColumn("label", F.col("label").cast("int")), ["label", "band"], "left").select("label", "band", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), nan).otherwise(F.col("mean")).alias("mean"), F.when(F.col("n").isNull(), nan).otherwise(F.col("std")).alias("std"))
+
+
+def label_preview(names: dict[int, str], most: int = 10) -> str:
+    """The first codes and their labels, and dots if there are more."""
+    return ", ".join(f"{k}:{v}" for k, v in list(names.items())[:most]) + (" ..." if len(names) > most else "")
 
 
 def confusion(pairs: DataFrame, labels: Sequence[int]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-pixel classification: sample under polygons, fit a forest, predict, smooth, and report on the samples held out.
 
-A model is any fitted transformer that turns `features` into `probability` and `prediction`; train_rf saves a Spark pipeline with a side-car of what prediction and the
-report need: the classes' names, the bands, the grid, band statistics and the held-out samples.
+A model is a Spark transformer that turns `features` into `probability` or `prediction`, or any Python object with predict(rows) and classes_ (and predict_proba, if
+it has it), pickled into one file. train_rf saves a Spark pipeline with a side-car of what prediction and the report need: the classes' names, the bands, the grid,
+band statistics and the held-out samples.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ from __future__ import annotations
 import json
 import logging
 import os
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +39,53 @@ def fit(samples: DataFrame, trees: int = 500, depth: int | None = None, seed: in
     return Pipeline(stages=[index, forest, IndexToString(inputCol="prediction", outputCol="class_text", labels=index.labels)]).fit(rows)
 
 
-def classes_of(model: PipelineModel) -> list[float]:
-    """The class values in the order of the probabilities."""
-    return [float(x) for x in model.stages[0].labels]
+def _stages(model) -> list:
+    return list(model.stages) if isinstance(model, PipelineModel) else [model] if isinstance(model, Transformer) else []
 
 
-def probabilities(pixels: DataFrame, model: PipelineModel) -> DataFrame:
-    """r, c, p (in the order of classes_of) of pixels with bands."""
-    rows = pixels.select("r", "c", array_to_vector(F.transform("bands", lambda x: x.cast("double"))).alias("features"))
-    out = rows
-    for stage in model.stages:
-        if not isinstance(stage, IndexToString) and stage.__class__.__name__ != "StringIndexerModel":
+def classes_of(model) -> list[float]:
+    """The class values in the order of the probabilities: an object's classes_, an index's labels, else 0, 1, 2 and so on."""
+    if not isinstance(model, Transformer):
+        return [float(x) for x in model.classes_]
+    for stage in _stages(model):
+        if isinstance(stage, StringIndexerModel):
+            return [float(x) for x in stage.labels]
+    return [float(k) for k in range(next(s.numClasses for s in _stages(model) if hasattr(s, "numClasses")))]
+
+
+def importances_of(model) -> list[float] | None:
+    """How much each band matters, where the model tells."""
+    found = next((s.featureImportances.toArray() for s in _stages(model) if hasattr(s, "featureImportances")), getattr(model, "feature_importances_", None))
+    return None if found is None else [float(x) for x in found]
+
+
+def probabilities(pixels: DataFrame, model) -> DataFrame:
+    """r, c, p (in the order of classes_of) of pixels with bands. A model that only predicts gives its class 1 and the others 0."""
+    if not isinstance(model, Transformer):
+        return _by_object(pixels, model)
+    out = pixels.select("r", "c", array_to_vector(F.transform("bands", lambda x: x.cast("double"))).alias("features"))
+    for stage in _stages(model):
+        if not isinstance(stage, (IndexToString, StringIndexerModel)):
             out = stage.transform(out)
-    return out.select("r", "c", vector_to_array("probability").alias("p"))
+    if "probability" in out.columns:
+        return out.select("r", "c", vector_to_array("probability").alias("p"))
+    return out.select("r", "c", F.array(*[(F.col("prediction") == k).cast("double") for k in range(len(classes_of(model)))]).alias("p"))
+
+
+def _by_object(pixels: DataFrame, model) -> DataFrame:
+    classes = np.asarray(model.classes_)
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.array(batch.column("bands").to_pylist(), float)
+                p = np.asarray(model.predict_proba(rows), float) if hasattr(model, "predict_proba") else (np.asarray(model.predict(rows))[:, None] == classes).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("c"), pa.array(p.tolist(), pa.list_(pa.float64()))], ["r", "c", "p"])
 
-def predicted(pixels: DataFrame, model: PipelineModel) -> DataFrame:
+    return pixels.select("r", "c", "bands").mapInArrow(judge, ", ".join(f"{c} {t}" for c, t in pixels.select("r", "c").dtypes) + ", p array<double>")
+
+
+def predicted(pixels: DataFrame, model) -> DataFrame:
     """r, c, class."""
     return R.class_raster(probabilities(pixels, model), classes_of(model), F.lit(True))
 
@@ -85,7 +119,8 @@ def training_samples(spark: SparkSession, pixels: DataFrame, grid: R.Grid, nodat
     if all(v is None or isinstance(v, int) for v in values):
         codes = values
     else:
-        ranks = {v: k for k, v in enumerate(sorted({str(v) for v in values if v is not None}), 1)}
+        texts = spark.createDataFrame([(None if v is None else str(v),) for v in values], "value string")
+        ranks = {r["value"]: r["code"] for r in A.category_codes(texts, "value").orderBy("code").collect()}  # a row for each class
         codes = [None if v is None else ranks[str(v)] for v in values]
         names = {k: v for v, k in ranks.items()}
     rows = []
@@ -116,7 +151,8 @@ def train_rf(
     *,
     spark: SparkSession,
 ) -> PipelineModel:
-    """Fit and save a forest. model_out becomes a folder: model, and side-car tables holdout, band_stats, points, and meta.json.
+    """Fit and save a forest. model_out becomes a folder: model, and side-car tables holdout, band_stats, points, and meta.json; beside it go
+    the layers of training and held-out points.
 
     n_jobs is accepted and left to Spark.
     """
@@ -127,16 +163,19 @@ def train_rf(
     samples = A.thin(samples, grid_size or 1, seed=random_state).cache()
     if not samples.limit(1).count():
         raise ValueError("No training samples found under the labels.")
+    if names:
+        log.info("Label codes: %s", A.label_preview(names))
     train, test = A.split(samples, test_fraction, random_state)
     model = fit(train, n_estimators, max_depth, random_state)
     model.write().overwrite().save(os.path.join(model_out, "model"))
-    A.class_band_stats(train).write.mode("overwrite").parquet(os.path.join(model_out, "band_stats"))
+    A.class_band_stats(train, [int(v) for v in classes_of(model)]).write.mode("overwrite").parquet(os.path.join(model_out, "band_stats"))
     _points(train, model, grid).write.mode("overwrite").parquet(os.path.join(model_out, "points_train"))
     if test is not None:
         test.write.mode("overwrite").parquet(os.path.join(model_out, "holdout"))
         _points(test, model, grid).write.mode("overwrite").parquet(os.path.join(model_out, "points_val"))
     spark.createDataFrame([(json.dumps({"names": names, "bands": list(band_indices) if band_indices else None, "classes": classes_of(model), "width": grid.width, "height": grid.height, "transform": grid.transform, "crs": grid.crs, "grid_size": grid_size, "holdout": test is not None}),)], "meta string").write.mode("overwrite").text(os.path.join(model_out, "meta"))
     samples.unpersist()
+    export_points(spark, model_out, grid.crs)
     return model
 
 
@@ -148,8 +187,12 @@ def _points(samples: DataFrame, model: PipelineModel, grid: R.Grid) -> DataFrame
     return own.join(predicted(rows, model).select(F.col("r").alias("ord"), F.col("class").alias("pred")), "ord").select("ord", F.col("label").alias("truth"), "pred", "source_id", x.alias("x"), y.alias("y"))
 
 
-def export_points(spark: SparkSession, model_out: str, crs: str) -> list[str]:
-    """The training and held-out points as GeoPackage layers beside the model: <model>_train_points.gpkg and <model>_val_points.gpkg."""
+def export_points(spark: SparkSession, model_out: str, crs: str | None) -> list[str]:
+    """The training and held-out points as GeoPackage layers beside the model: <model>_train_points.gpkg and <model>_val_points.gpkg.
+    Without a coordinate system there are none."""
+    if crs is None:
+        log.warning("The training raster has no CRS; no point layers are written.")
+        return []
     out = []
     for part in ("train", "val"):
         folder = os.path.join(model_out, f"points_{part}")
@@ -160,7 +203,12 @@ def export_points(spark: SparkSession, model_out: str, crs: str) -> list[str]:
     return out
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+def load_model(spark: SparkSession, path: str) -> tuple:
+    """A model and what is known of it: a folder of train_rf, or one file with a pickled object (only from where code may come from, too)."""
+    if os.path.isfile(path):
+        with open(path, "rb") as file:
+            model = pickle.load(file)  # noqa: S301
+        return model, {"names": {}, "bands": None, "classes": classes_of(model), "holdout": False}
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()["value"])
     return PipelineModel.load(os.path.join(path, "model")), meta
 
@@ -288,7 +336,7 @@ def report(spark: SparkSession, model: PipelineModel, meta: dict, model_path: st
         "Raw confusion matrix (rows=true, cols=pred):",
         layout(shown, matrix),
         "",
-        f"Misclassified validation IDs (raw): {', '.join(wrong) or 'none'}",
+        f"Misclassified validation IDs (raw): {_named(wrong)}",
         "",
         f"Smoothing mode: {smooth}",
     ]
@@ -305,10 +353,13 @@ def report(spark: SparkSession, model: PipelineModel, meta: dict, model_path: st
         n = lost.first()
         if n["outside"] or n["nodata"]:
             lines.append(f"Dropped {n['outside'] + n['nodata']} holdout samples outside raster or on nodata.")
-        lines += ["", f"Misclassified validation IDs (smoothed): {', '.join(wrong) or 'none'}"]
-    importances = model.stages[1].featureImportances.toArray()
-    bands = meta["bands"] or list(range(1, len(importances) + 1))
-    lines += ["", "Band importance (sorted):", *(f"band {bands[k]}: {importances[k]:.6f}" for k in np.argsort(-importances, kind="stable"))]
+        lines += ["", f"Misclassified validation IDs (smoothed): {_named(wrong)}"]
+    importances = importances_of(model)
+    bands = meta["bands"] or list(range(1, len(held.select("features").first()["features"]) + 1))
+    if importances is None:
+        lines += ["", "Band importance unavailable (model has no feature_importances_)."]
+    else:
+        lines += ["", "Band importance (sorted):", *(f"band {bands[k]}: {importances[k]:.6f}" for k in np.argsort(-np.array(importances), kind="stable"))]
     stats: dict[int, list] = {}
     for r in spark.read.parquet(os.path.join(model_path, "band_stats")).orderBy("label", "band").collect():  # a row for each class and band
         stats.setdefault(r["label"], []).append(r)
@@ -324,10 +375,16 @@ def report(spark: SparkSession, model: PipelineModel, meta: dict, model_path: st
     pred.unpersist()
 
 
-def _measured(pairs: DataFrame, labels: list) -> tuple[float, np.ndarray, list[str]]:
+def _named(wrong: list[str] | None) -> str:
+    """What the report says of samples without ids, and of none."""
+    return "unavailable." if wrong is None else ", ".join(wrong) or "none"
+
+
+def _measured(pairs: DataFrame, labels: list) -> tuple[float, np.ndarray, list[str] | None]:
     found = {r["truth"]: r for r in A.confusion(pairs, labels).collect()}  # a row for each class
     matrix = np.array([[found[t][f"pred_{p}"] for p in labels] for t in labels])
-    return A.accuracy(pairs).first()["accuracy"] or 0.0, matrix, A.misclassified(pairs).first()["source_ids"]
+    known = pairs.filter("source_id IS NOT NULL").limit(1).count() > 0
+    return A.accuracy(pairs).first()["accuracy"] or 0.0, matrix, A.misclassified(pairs).first()["source_ids"] if known else None
 
 
 def distance_to_vector(vector_path: str, template_path: str, output_path: str, backend: str = "cpu", *, spark: SparkSession) -> str:
@@ -336,12 +393,17 @@ def distance_to_vector(vector_path: str, template_path: str, output_path: str, b
         raise ValueError("backend must be 'cpu' or 'gpu'.")
     if backend == "gpu":
         raise ImportError("There is no GPU backend.")
-    grid = files.header(template_path).grid
+    h = files.header(template_path)
+    grid = h.grid
     if grid.crs is None:
         raise ValueError("The template has no CRS.")
-    if grid.crs == "EPSG:4326":
+    if h.geographic:
         raise ValueError("The template's CRS must be projected.")
+    if grid.transform[1] or grid.transform[3]:
+        raise ValueError("Distance needs a grid without rotation or shear.")
     found, crs = vector.features(vector_path)
+    if found and crs is None:
+        raise ValueError("The vector file has no CRS.")
     rows = [(k, 1, json.dumps(g.project(crs, grid.crs).to_json())) for k, (g, _) in enumerate(found) if not g.empty]
     if not rows:
         raise ValueError(f"No geometries found in '{vector_path}'.")
