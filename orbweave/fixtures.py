@@ -29,6 +29,14 @@ SELECT event_id AS ord, 'scene-' || CAST(event_id AS STRING) AS item_id, '2024-0
   CAST(((user_id * 7919 + event_id) % 12) * 1000 + 750 + 1000 * (event_id % 3) AS DOUBLE) AS xmax, CAST(((event_id * 31) % 12) * 1000 + 750 + 1000 * (event_id % 3) AS DOUBLE) AS ymax
 FROM (SELECT *, {k} AS k FROM events) e
 """
+MORE = """
+SELECT event_id AS ord, CASE WHEN event_id % 7 <> 0 THEN CAST((event_id * 3) % 101 AS DOUBLE) END AS visible_confidence_percent,
+  CASE WHEN event_id % 8 <> 1 THEN CAST((event_id * 11) % 100 AS DOUBLE) / 100 END AS clear_confidence_percent, CASE WHEN event_id % 9 <> 2 THEN CAST((event_id * 5) % 40 AS DOUBLE) END AS shadow_percent,
+  CASE WHEN event_id % 10 <> 3 THEN CAST(event_id % 5 AS DOUBLE) / 10 END AS snow_ice_percent, CASE WHEN event_id % 6 <> 4 THEN CAST((event_id * 7) % 30 AS DOUBLE) END AS heavy_haze_percent,
+  CASE WHEN event_id % 5 <> 1 THEN CAST(event_id % 13 AS DOUBLE) END AS anomalous_pixels,
+  CASE event_id % 4 WHEN 0 THEN 'finalized' WHEN 1 THEN ' Standard ' WHEN 2 THEN 'preview' END AS publishing_stage, '2024-01-0' || CAST(1 + event_id % 9 AS STRING) AS acquired
+FROM events
+"""
 STRIPS = """
 SELECT CAST(l_suppkey % 8 AS INT) AS strip, CAST(l_orderkey % 100 AS INT) AS r, CAST(l_partkey % 100 AS INT) AS c, min(l_tax * 1000) AS green, min(l_quantity) AS red,
   min(l_extendedprice / 1000) AS nir, CAST(max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS INT) AS udm
@@ -38,6 +46,7 @@ ITEMS = "SELECT CAST(year(o_orderdate) AS STRING) AS period, o_orderkey AS ord,
 STRIP_META = """
 SELECT s_suppkey AS ord, 'EPSG:3263' || CAST(s_nationkey % 3 AS STRING) AS label, CAST((s_nationkey * 15) % 360 - 180 AS DOUBLE) AS lon, CAST((s_suppkey * 7) % 120 - 60 AS DOUBLE) AS lat FROM supplier
 """
+TIED = "SELECT n_nationkey AS ord, 'EPSG:3263' || CAST(n_nationkey % 5 AS STRING) AS label, CAST((n_nationkey * 13) % 360 - 180 AS DOUBLE) AS lon, CAST((n_nationkey * 7) % 120 - 60 AS DOUBLE) AS lat FROM nation"
 PIXELS = "SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, embedding AS bands, CAST(label + 1 AS INT) AS label, vec_id % 17 = 0 AS nodata, vec_id FROM embeddings"
 PROBS = """
 SELECT r, c, label, nodata, x1 / (x1 + x2 + x3 + x4) AS p1, x2 / (x1 + x2 + x3 + x4) AS p2, x3 / (x1 + x2 + x3 + x4) AS p3, x4 / (x1 + x2 + x3 + x4) AS p4
@@ -53,7 +62,7 @@ POLYGONS = [
     (4, None, [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0), (0.0, 0.0)]),
 ]
 
-_OF = {"SCENES": "events", "STRIPS": "lineitem", "ITEMS": "orders", "STRIP_META": "supplier", "PIXELS": "embeddings", "PROBS": "embeddings"}
+_OF = {"SCENES": "events", "MORE": "events", "TIED": "nation", "STRIPS": "lineitem", "ITEMS": "orders", "STRIP_META": "supplier", "PIXELS": "embeddings", "PROBS": "embeddings"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +84,14 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", "item_id", "month", "xmin", "ymin", "xmax", "ymax", F.explode(F.array(props)).alias("props"))
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes whose property map also has what MORE knows of them, under the names of one catalog."""
+    more = load(spark, sf_dir, "MORE")
+    names = {"shadow_percent": "pl:shadow_percent", "snow_ice_percent": "pl_snow_ice_percent", "publishing_stage": "pl:publishing_stage"}
+    extra = F.create_map(*[x for f in more.columns if f != "ord" for x in (F.lit(names.get(f, f)), F.col(f).cast("string"))])
+    return scenes(spark, sf_dir).join(more.select("ord", extra.alias("_more")), "ord").withColumn("props", F.map_concat("props", "_more")).drop("_more")
+
+
 def sql(name: str) -> str:
     """A fixture's SQL for DuckDB."""
     text = globals()[name]

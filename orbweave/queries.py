@@ -5,6 +5,7 @@ Doubles are rounded to six places, and + 0.0 makes a negative zero a plain one.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .operators import scenes as SC
 from .operators import smoothing as M
 from .operators import tiles as T
 from .plans import planner
+from .session import materialise
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -117,6 +119,32 @@ def scene_quality_score(spark, sf_dir):
     return X.scenes(spark, sf_dir).select("item_id", r6(q).alias("quality_score"), r6(S.quality_multiplier(q, 0.35)).alias("multiplier"))
 
 
+_DESCRIBED = f"{_SCENES}, d AS (SELECT * FROM s JOIN ({X.sql('MORE')}) more USING (ord))"
+_ORDER_LIMITS = {"max_anomalous": ("anomalous_pixels", 8.0), "max_shadow": ("shadow_percent", 0.2), "max_snow_ice": ("snow_ice_percent", 0.3), "max_heavy_haze": ("heavy_haze_percent", 0.15), "min_visible": ("visible_confidence_percent", 0.3), "min_clear": ("clear_confidence_percent", 0.25)}
+
+
+def _limit_sql(name: str, field: str, value: float) -> str:
+    v = field if name == "max_anomalous" else f"({_pct(field)})"
+    return f"coalesce({v} {'<=' if name[:3] == 'max' else '>='} {value}, false)"
+
+
+@query(f"""{_DESCRIBED} SELECT item_id, {", ".join(f"{_limit_sql(k, f, v)} AS {k}" for k, (f, v) in _ORDER_LIMITS.items())}, coalesce(lower(trim(publishing_stage)) = 'standard', false) AS stage,
+  {" AND ".join(_limit_sql(k, f, v) for k, (f, v) in _ORDER_LIMITS.items())} AS every FROM d""")
+def order_filters(spark, sf_dir):
+    p = F.col("props")
+    limits = {k: v for k, (_, v) in _ORDER_LIMITS.items()}
+    return X.described(spark, sf_dir).select("item_id", *[SC.quality_ok(p, **{k: v}).alias(k) for k, v in limits.items()], SC.quality_ok(p, publishing_stage="Standard").alias("stage"), SC.quality_ok(p, **limits).alias("every"))
+
+
+_TEXTS, _NUMBERS = ("instrument", "constellation", "clear_percent", "acquired", "ground_control", "quality_category", "publishing_stage"), ("cloud_cover", "sun_elevation", "sun_azimuth", "view_angle", "gsd", "visible_confidence_percent", "clear_confidence_percent", "shadow_percent", "snow_ice_percent", "heavy_haze_percent", "anomalous_pixels")
+
+
+@query(f"{_DESCRIBED} SELECT item_id, instrument, constellation, acquired, ground_control, quality_category, publishing_stage, nullif(coalesce(nullif(clear_percent, ''), nullif(pl_clear_percent, ''), nullif(clear_fraction, '')), '') AS clear_percent, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _NUMBERS)} FROM d")
+def order_snapshot(spark, sf_dir):
+    s = X.described(spark, sf_dir).select("item_id", P.snapshot(F.col("props"), P.ORDER_SNAPSHOT).alias("s"))
+    return s.select("item_id", *[F.col(f"s.{c}") for c in _TEXTS], *[r6(F.col(f"s.{c}").cast("double")).alias(c) for c in _NUMBERS])
+
+
 @query(f"""{_SCENES}, e AS (SELECT DISTINCT month, lower(trim(constellation)) AS word FROM s WHERE lower(trim(instrument)) = 'psb.sd' AND constellation IS NOT NULL)
 SELECT s.item_id FROM s WHERE lower(trim(instrument)) = 'psb.sd' OR (instrument IS NULL AND EXISTS (SELECT 1 FROM e WHERE e.month = s.month AND e.word = lower(trim(s.constellation))))""")
 def instrument_fallback(spark, sf_dir):
@@ -194,7 +222,7 @@ def candidate_score_step0(spark, sf_dir):
 
 @query(_greedy_sql(2) + " SELECT month, ord, 'scene-' || CAST(ord AS VARCHAR) AS item_id, round(score, 6) + 0.0 AS score FROM score1")
 def candidate_score_step1(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = materialise(_pairs(spark, sf_dir), "pairs")
     first = T.scores(pairs, T.tile_state(pairs.limit(0), ["month"]), ["month"]).groupBy("month").agg(F.max_by("ord", F.struct(F.round("score", 9), -F.col("ord"))).alias("taken"))
     marked = pairs.join(F.broadcast(first), "month")  # a row a month
     state = T.tile_state(marked.filter("ord = taken"), ["month"])
@@ -254,10 +282,21 @@ def crs_majority(spark, sf_dir):
     return O.crs_counts(X.load(spark, sf_dir, "STRIP_META")).select("label", "n", "majority")
 
 
-@query(f"""{_META}, mean AS (SELECT avg(lon) AS x, avg(lat) AS y FROM m), d AS (SELECT label, min(pow(lon - x, 2) + pow(lat - y, 2)) AS d FROM m, mean WHERE label IN (SELECT label FROM n WHERE n >= (SELECT max(n) - 10 FROM n)) GROUP BY label)
-SELECT label, round(d, 6) + 0.0 AS d2 FROM d ORDER BY round(d, 6), label LIMIT 1""")
+def _choice_sql(name: str) -> str:
+    return f"""WITH m AS ({X.sql(name)}), n AS (SELECT label, count(*) AS n FROM m GROUP BY label), mean AS (SELECT avg(lon) AS x, avg(lat) AS y FROM m),
+d AS (SELECT label, min(pow(lon - x, 2) + pow(lat - y, 2)) AS d FROM m, mean WHERE label IN (SELECT label FROM n WHERE n = (SELECT max(n) FROM n)) GROUP BY label)
+SELECT label, round(d, 6) + 0.0 AS d2 FROM d ORDER BY round(d, 6), label LIMIT 1"""
+
+
+@query(_choice_sql("TIED"))
 def crs_tiebreak(spark, sf_dir):
-    return O.crs_choice(X.load(spark, sf_dir, "STRIP_META"), slack=10).select("label", r6("d2").alias("d2"))
+    """Five systems with five strips each."""
+    return O.crs_choice(X.load(spark, sf_dir, "TIED")).select("label", r6("d2").alias("d2"))
+
+
+@query(_choice_sql("STRIP_META"))
+def crs_choice(spark, sf_dir):
+    return O.crs_choice(X.load(spark, sf_dir, "STRIP_META")).select("label", r6("d2").alias("d2"))
 
 
 @query(f"""WITH m AS ({X.sql('STRIP_META')}), s AS (SELECT ord, lon, sin(radians(lat)) AS s FROM m)
@@ -282,6 +321,13 @@ def ndvi(spark, sf_dir):
     return X.load(spark, sf_dir, "STRIPS").select("strip", "r", "c", r6(R.ndvi(F.col("red"), F.col("nir"))).alias("ndvi"))
 
 
+@query(f"{_STRIPS}, b AS (SELECT strip, r, c, green AS b1, green AS b2, red AS b3, nir AS b4 FROM p) SELECT strip, r, c, CAST(5 AS INT) AS n, round(b4, 6) + 0.0 AS b4, round(CASE WHEN b3 = 0 OR b4 = 0 OR b4 + b3 = 0 THEN 0 ELSE (b4 - b3) / (b4 + b3) END, 6) + 0.0 AS b5 FROM b")
+def ndvi_append(spark, sf_dir):
+    rows = X.load(spark, sf_dir, "STRIPS").select("strip", "r", "c", F.array(*[F.col(b).cast("double") for b in ("green", "green", "red", "nir")]).alias("bands"))
+    out = R.with_ndvi(rows, 4)
+    return out.select("strip", "r", "c", F.size("bands").alias("n"), r6(F.element_at("bands", 4)).alias("b4"), r6(F.element_at("bands", 5)).alias("b5"))
+
+
 @query("SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, " + ", ".join(f"round(CAST(embedding[{b}] AS DOUBLE), 6) + 0.0 AS b{k}" for k, b in enumerate((5, 1, 64, 2))) + ", round(CAST(embedding[64] AS DOUBLE), 6) + 0.0 AS s FROM embeddings")
 def band_select_stack(spark, sf_dir):
     p = X.load(spark, sf_dir, "PIXELS")
@@ -295,10 +341,11 @@ def nodata_mask(spark, sf_dir):
     return p.select("r", "c", R.is_nodata(F.col("bands"), R.nodata_list([None, None, float("nan")], 64)).alias("nodata"))
 
 
-@query("""SELECT CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, p.label FROM (SELECT y.t AS r, x.t AS c, CAST(floor((x.t + 0.5) * 2.5) AS INT) AS sc, CAST(floor((y.t + 0.5) * 2.5) AS INT) AS sr FROM range(10) x(t), range(8) y(t)) t
-LEFT JOIN (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(label + 1 AS INT) AS label FROM embeddings WHERE floor(vec_id / 25) < 20) p ON p.r = sr AND p.c = sc""")
+@query("""WITH p AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(label + 1 AS INT) AS label FROM embeddings),
+y AS (SELECT unnest(range(CAST(ceil((max(r) + 1) * 2 / 5) AS BIGINT))) AS t FROM p), t AS (SELECT y.t AS r, x.t AS c, CAST(floor((x.t + 0.5) * 2.5) AS INT) AS sc, CAST(floor((y.t + 0.5) * 2.5) AS INT) AS sr FROM range(10) x(t), y)
+SELECT CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, p.label FROM t LEFT JOIN p ON p.r = sr AND p.c = sc""")
 def nn_align(spark, sf_dir):
-    """The whole raster on cells of 2.5; the SQL is that of a raster of 20 rows (sf0.001 and sf0.01) and knows no others."""
+    """The whole raster on cells of 2.5."""
     height = _height(spark, sf_dir)
     source = R.Grid(WIDTH, height, (1.0, 0.0, 0.0, 0.0, -1.0, float(height)), "EPSG:3857")
     coarse = R.Grid(WIDTH * 2 // 5, -(-height * 2 // 5), (2.5, 0.0, 0.0, 0.0, -2.5, float(height)), "EPSG:3857")
@@ -329,6 +376,11 @@ def _samples(spark, sf_dir):
     return p.select(F.col("vec_id").alias("ord"), "label", "r", "c", F.col("bands").alias("features"), F.col("vec_id").cast("string").alias("source_id"), F.col("label").alias("truth"), best.alias("pred"), "nodata")
 
 
+@query("SELECT p_brand AS value, CAST(row_number() OVER (ORDER BY p_brand) AS INT) AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)")
+def category_codes(spark, sf_dir):
+    return A.category_codes(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand").select("value", F.col("code").cast("int").alias("code"))
+
+
 @query("SELECT ord, label FROM (SELECT vec_id AS ord, CAST(label + 1 AS INT) AS label, row_number() OVER (PARTITION BY label, floor(floor(vec_id / 25) / 4), floor((vec_id % 25) / 4) ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1")
 def grid_thin(spark, sf_dir):
     return A.thin(_samples(spark, sf_dir), 4, F.col("ord")).select("ord", "label")
@@ -349,6 +401,14 @@ def class_band_stats(spark, sf_dir):
     return A.class_band_stats(_samples(spark, sf_dir)).select("label", "band", "n", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+@query("""WITH s AS (SELECT CAST(label + 1 AS INT) AS label, CAST(band AS INT) AS band, count(*) AS n, avg(v) AS mean FROM (SELECT label, unnest(range(1, 65)) AS band, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY ALL)
+SELECT CAST(l.t AS INT) AS label, CAST(b.t AS INT) AS band, coalesce(n, 0) AS n, round(mean, 6) + 0.0 AS mean FROM range(1, 41) l(t) CROSS JOIN range(1, 65) b(t) LEFT JOIN s ON s.label = l.t AND s.band = b.t""")
+def class_band_stats_of_all(spark, sf_dir):
+    """Of 40 classes, most of them without a sample."""
+    found = A.class_band_stats(_samples(spark, sf_dir), range(1, 41))
+    return found.select("label", "band", "n", r6(F.when(~F.isnan("mean"), F.col("mean"))).alias("mean"))
+
+
 _PRED = "SELECT CAST(label + 1 AS INT) AS truth, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) AS INT) AS pred, CAST(vec_id AS VARCHAR) AS source_id FROM embeddings"
 
 
@@ -391,11 +451,11 @@ def binary_masks(spark, sf_dir):
     return R.binary_masks(R.class_raster(p, [10, 20, 30, 40], F.col("valid")), [10, 20, 30, 40])
 
 
-def _icm_sql(rounds: int) -> str:
+def _icm_sql(rounds: int, near: str = "abs(v.r - g.r) + abs(v.c - g.c) = 1 AND g.r BETWEEN v.r - 1 AND v.r + 1", energy: str = "ln(p[i] + 1e-9)") -> str:
     out = f"{_PROBS}, v AS (SELECT r, c, p FROM l WHERE NOT nodata), g0 AS (SELECT r, c, list_position(p, list_max(p)) - 1 AS label FROM v)"
     for k in range(1, rounds + 1):
-        out += f""", n{k} AS (SELECT v.r, v.c, g.label, count(*) AS n FROM v JOIN g{k - 1} g ON abs(v.r - g.r) + abs(v.c - g.c) = 1 AND g.r BETWEEN v.r - 1 AND v.r + 1 GROUP BY ALL),
-e{k} AS (SELECT v.r, v.c, i, ln(p[i] + 1e-9) + coalesce(n.n, 0) AS e FROM (SELECT r, c, p, unnest(range(1, 5)) AS i FROM v) v LEFT JOIN n{k} n ON n.r = v.r AND n.c = v.c AND n.label = i - 1),
+        out += f""", n{k} AS (SELECT v.r, v.c, g.label, count(*) AS n FROM v JOIN g{k - 1} g ON {near} GROUP BY ALL),
+e{k} AS (SELECT v.r, v.c, i, {energy} + coalesce(n.n, 0) AS e FROM (SELECT r, c, p, unnest(range(1, 5)) AS i FROM v) v LEFT JOIN n{k} n ON n.r = v.r AND n.c = v.c AND n.label = i - 1),
 g{k} AS (SELECT r, c, arg_max(i, (e, -i)) - 1 AS label FROM e{k} GROUP BY r, c)"""
     return out + f" SELECT l.r, l.c, CAST(coalesce(g.label, -1) AS INT) AS label FROM l LEFT JOIN g{rounds} g ON g.r = l.r AND g.c = l.c"
 
@@ -405,6 +465,17 @@ def icm_1(spark, sf_dir):
     return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), rounds=1, shape=(8, 8))
 
 
+@query(_icm_sql(2, "g.r BETWEEN v.r - 1 AND v.r + 1 AND g.c BETWEEN v.c - 1 AND v.c + 1 AND (g.r <> v.r OR g.c <> v.c)"))
+def icm_8_neighbours(spark, sf_dir):
+    return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), neighborhood=8, rounds=2, shape=(8, 8))
+
+
+@query(_icm_sql(1, energy="ln(greatest(0.2, least(1.0, p[i])))"))
+def icm_clipped(spark, sf_dir):
+    """Stored probabilities are clipped, not shifted; 0.2 makes the difference show."""
+    return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), rounds=1, epsilon=0.2, clip=True, shape=(8, 8))
+
+
 @query(_icm_sql(3))
 def icm_3(spark, sf_dir):
     return M.icm_smooth(_probs(spark, sf_dir), WIDTH, _height(spark, sf_dir), rounds=3, shape=(8, 8))
@@ -436,8 +507,8 @@ def distance_surface(spark, sf_dir):
     return R.distance(p.filter("label = 3"), grid).select("r", "c", (F.round("distance", 4) + 0.0).alias("distance"))
 
 
-@query(f"""{_STRIPS}, m AS (SELECT strip, r, c, CASE WHEN udm = 1 THEN red ELSE 0 END AS red FROM p), b AS (SELECT strip, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM m GROUP BY strip),
-w AS (SELECT m.r, m.c, red, least(m.r - r0, r1 - m.r, m.c - c0, c1 - m.c) + 1 AS w FROM m JOIN b USING (strip) WHERE red <> 0)
+@query(f"""{_STRIPS}, m AS (SELECT strip, r, c, red FROM p WHERE udm = 1 AND red <> 0), g AS (SELECT strip, CAST(y.t AS INT) AS r, CAST(x.t AS INT) AS c FROM (SELECT DISTINCT strip FROM m), range(-1, 101) y(t), range(-1, 101) x(t)),
+e AS (SELECT g.* FROM g ANTI JOIN m USING (strip, r, c)), w AS (SELECT m.strip, m.r, m.c, any_value(red) AS red, sqrt(min(pow(m.r - e.r, 2) + pow(m.c - e.c, 2))) AS w FROM m JOIN e ON m.strip = e.strip GROUP BY m.strip, m.r, m.c)
 SELECT r, c, round(sum(w * red) / sum(w), 6) + 0.0 AS red, count(*) AS strips FROM w GROUP BY r, c""")
 def mosaic_blend(spark, sf_dir):
     from .plans import mosaic
@@ -446,6 +517,22 @@ def mosaic_blend(spark, sf_dir):
     return mosaic.blend(pixels, ["red"]).select("r", "c", r6("red").alias("red"), "strips")
 
 
+_CUBIC = "CASE WHEN {0} <= 1 THEN 1.5 * pow({0}, 3) - 2.5 * pow({0}, 2) + 1 WHEN {0} < 2 THEN -0.5 * pow({0}, 3) + 2.5 * pow({0}, 2) - 4 * {0} + 2 ELSE 0 END"
+
+
+@query(f"""WITH p AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings WHERE vec_id % 17 <> 0), y AS (SELECT unnest(range(CAST(ceil((SELECT max(vec_id) // 25 + 1 FROM embeddings) / 2.5) AS BIGINT))) AS t),
+t AS (SELECT CAST(y.t AS INT) AS r, CAST(x.t AS INT) AS c, (x.t + 0.5) * 2.5 AS u, (y.t + 0.5) * 2.5 AS v FROM range(10) x(t), y), k AS (SELECT t.* FROM t JOIN p ON p.r = floor(t.v) AND p.c = floor(t.u)),
+w AS (SELECT k.r, k.c, p.v AS value, {_CUBIC.format('abs(k.v - 0.5 - p.r)')} * {_CUBIC.format('abs(k.u - 0.5 - p.c)')} AS w FROM k JOIN p ON abs(k.v - 0.5 - p.r) < 2 AND abs(k.u - 0.5 - p.c) < 2)
+SELECT r, c, round(sum(w * value) / sum(w), 6) + 0.0 AS value FROM w GROUP BY r, c""")
+def bicubic(spark, sf_dir):
+    """Cells of 2.5, over a raster with holes."""
+    height = _height(spark, sf_dir)
+    source = R.Grid(WIDTH, height, (1.0, 0.0, 0.0, 0.0, -1.0, float(height)), "EPSG:3857")
+    coarse = R.Grid(WIDTH * 2 // 5, -(-height * 2 // 5), (2.5, 0.0, 0.0, 0.0, -2.5, float(height)), "EPSG:3857")
+    rows = X.load(spark, sf_dir, "PIXELS").filter("NOT nodata").select("r", "c", F.array(F.element_at("bands", 1)).alias("bands"))
+    return R.resampled(rows, source, coarse, shape=(8, 8)).select("r", "c", r6(F.element_at("bands", 1)).alias("value"))
+
+
 @query(f"""WITH i AS ({X.sql('ITEMS')}), n AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY ord) - 1 AS p FROM i), b AS (SELECT period, CAST(p // 500 + 1 AS BIGINT) AS batch, list(id ORDER BY ord) AS ids FROM n GROUP BY ALL),
 m AS (SELECT *, 'plan_' || period || CASE WHEN batch = 1 THEN '' ELSE '_' || CAST(batch AS VARCHAR) END AS name FROM b)
 SELECT period, batch, name, '{{"name":"' || name || '","source_type":"scenes","products":[{{"item_ids":["' || array_to_string(ids, '","') || '"],"item_type":"PSScene","product_bundle":"analytic_sr_udm2"}}],"delivery":{{"archive_type":"zip","single_archive":true,"archive_filename":"' || name || '.zip"}}}}' AS request FROM m""")
@@ -476,13 +563,13 @@ def catalog_search(spark, sf_dir):
 
 
 @query(f"""{_PROBS}, k AS (SELECT r, c, CASE WHEN nodata THEN -1 ELSE list_position(p, list_max(p)) END AS class FROM l),
-s AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) + CASE WHEN vec_id % 50 = 0 THEN 30 ELSE 0 END AS c, CAST(label % 4 + 1 AS INT) AS truth FROM embeddings WHERE vec_id % 3 = 0)
+s AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) + CASE WHEN vec_id % 50 = 0 THEN 30 ELSE 0 END AS c, CAST(label % 4 + 1 AS INT) AS truth FROM embeddings)
 SELECT count(*) FILTER (WHERE s.c < 25 AND class <> -1) AS n, count(*) FILTER (WHERE s.c < 25 AND class = truth) AS hits, count(*) FILTER (WHERE s.c >= 25) AS outside, count(*) FILTER (WHERE s.c < 25 AND class = -1) AS nodata FROM s LEFT JOIN k USING (r, c)""")
 def holdout_on_raster(spark, sf_dir):
     p = _probs(spark, sf_dir)
     raster = R.class_raster(p, [1, 2, 3, 4], F.col("valid"))
     v = F.col("vec_id")
-    rows = X.load(spark, sf_dir, "PIXELS").filter(v % 3 == 0).select("r", (F.col("c") + F.when(v % 50 == 0, 30).otherwise(0)).cast("int").alias("c"), ((F.col("label") - 1) % 4 + 1).cast("int").alias("label"), v.cast("string").alias("source_id"))
+    rows = X.load(spark, sf_dir, "PIXELS").select("r", (F.col("c") + F.when(v % 50 == 0, 30).otherwise(0)).cast("int").alias("c"), ((F.col("label") - 1) % 4 + 1).cast("int").alias("label"), v.cast("string").alias("source_id"))
     pairs, lost = A.at_samples(rows, raster, WIDTH, _height(spark, sf_dir))
     return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("pred")).alias("hits")).crossJoin(lost)  # one row each
 
@@ -493,6 +580,50 @@ def project_3857(spark, sf_dir):
     return X.load(spark, sf_dir, "STRIP_META").select("ord", (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y"))
 
 
+def _utm_sql() -> str:
+    sums = lambda f, g: " + ".join(f"CAST({a!r} AS DOUBLE) * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, a in enumerate(C.ALPHA, 1))
+    scale = f"CAST({C.UTM_SCALE * C.RECTIFYING!r} AS DOUBLE)"
+    return f"""WITH m AS ({X.sql('STRIP_META')}), a AS (SELECT ord, radians(lon / 60) AS lam, sin(radians(lat)) AS s FROM m), t AS (SELECT ord, lam, sinh(atanh(s) - CAST({C.E!r} AS DOUBLE) * atanh(CAST({C.E!r} AS DOUBLE) * s)) AS t FROM a),
+x AS (SELECT ord, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT ord, round(500000 + {scale} * (eta + {sums('cos', 'sinh')}), 4) + 0.0 AS x, round({scale} * (xi + {sums('sin', 'cosh')}), 4) + 0.0 AS y FROM x"""
+
+
+@query(_utm_sql())
+def project_utm(spark, sf_dir):
+    @F.pandas_udf("x double, y double")
+    def zone_33(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+        x, y = C.transform("EPSG:4326", "EPSG:32633", lon.to_numpy(), lat.to_numpy())
+        return pd.DataFrame({"x": x, "y": y})
+
+    rows = X.load(spark, sf_dir, "STRIP_META").select("ord", zone_33(F.col("lon") / 60 + 15, "lat").alias("p"))
+    return rows.select("ord", (F.round("p.x", 4) + 0.0).alias("x"), (F.round("p.y", 4) + 0.0).alias("y"))
+
+
+@query("""SELECT 'scene-' || CAST(o_orderkey AS VARCHAR) AS item_id, list_sort(CASE WHEN o_orderkey % 2 = 0 THEN ['ortho_udm2', 'a', 'c', 'e', 'f', 'b', 'd'] ELSE ['ortho_udm2', 'basic'] END) AS keys,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'a, b, c, d, e, f, ...' ELSE 'basic, ortho_udm2' END AS preview FROM orders WHERE o_orderkey IN (SELECT event_id FROM events)""")
+def item_lookup(spark, sf_dir):
+    """Items named by a table of ids, with the names of their assets."""
+    key = F.col("o_orderkey")
+    link = F.lit("link")
+    assets = F.when(key % 2 == 0, F.map_from_arrays(F.array(*map(F.lit, ("ortho_udm2", "a", "c", "e", "f", "b", "d"))), F.array_repeat(link, 7))).otherwise(F.map_from_arrays(F.array(F.lit("ortho_udm2"), F.lit("basic")), F.array_repeat(link, 2)))
+    catalog = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("scene-"), key.cast("string")).alias("item_id"), assets.alias("assets"))
+    ids = X.load(spark, sf_dir, "SCENES").select("item_id")
+    names = O.asset_keys(F.col("assets"))
+    return O.lookup(catalog, ids).select("item_id", names.alias("keys"), O.asset_preview(names).alias("preview"))
+
+
+@query(f"""WITH f AS ({X.sql('SCENES')}) SELECT ord, CAST(CASE ord % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 2 END AS INT) AS vertices, xmin, ymin, xmax, ymax, greatest(xmax - xmin, ymax - ymin) AS span FROM f""")
+def geometry_measures(spark, sf_dir):
+    """Rectangles, rectangles with a hole, and lines."""
+    sides = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    ring = lambda a, b, c, d: F.format_string("[[%f,%f],[%f,%f],[%f,%f],[%f,%f],[%f,%f]]", a, b, c, b, c, d, a, d, a, b)
+    hole = ring(sides[0] + 1, sides[1] + 1, sides[0] + 2, sides[1] + 2)
+    kind = F.col("ord") % 3
+    text = F.when(kind == 0, F.concat(F.lit('{"type":"Polygon","coordinates":['), ring(*sides), F.lit("]}"))).when(kind == 1, F.concat(F.lit('{"type":"Polygon","coordinates":['), ring(*sides), F.lit(","), hole, F.lit("]}"))).otherwise(F.concat(F.lit('{"type":"LineString","coordinates":'), F.format_string("[[%f,%f],[%f,%f]]", *sides), F.lit("}")))
+    found = X.load(spark, sf_dir, "SCENES").select("ord", geo.measures(text).alias("m"))
+    return found.select("ord", "m.vertices", "m.xmin", "m.ymin", "m.xmax", "m.ymax", F.greatest(F.col("m.xmax") - F.col("m.xmin"), F.col("m.ymax") - F.col("m.ymin")).alias("span"))
+
+
 @query()
 def rf_predict(spark, sf_dir):
     from .plans import classify

@@ -126,7 +126,7 @@ def test_refused_scene_is_replaced(spark, aoi):
     assert "o2" in orders.summary(done) and orders.summary({}) == "No orders submitted."
 
 
-def test_orders_are_cut_at_500(aoi, tmp_path):
+def test_orders_are_cut_at_500(spark, aoi, tmp_path):
     plan = {"2024-01": {"items": [{"id": f"i{k}"} for k in range(1201)]}}
     box = orders.Outbox(str(tmp_path / "out.jsonl"))
     done = orders.submit_orders_for_plan(plan, aoi, client=box, order_prefix="p")["2024-01"]
@@ -136,7 +136,7 @@ def test_orders_are_cut_at_500(aoi, tmp_path):
     assert len(done["item_ids"]) == 1201
 
 
-def test_other_errors_end_the_month(aoi):
+def test_other_errors_end_the_month(spark, aoi):
     class Broken:
         def create_order(self, request):
             raise RuntimeError("down")
@@ -164,3 +164,72 @@ def test_simplify_keeps_the_limit():
     assert small.bounds() == pytest.approx(circle.bounds(), abs=1e-3)
     with pytest.raises(ValueError):
         geo.union([geo.box(k, 0, k + 0.5, 1) for k in range(10)]).simplified(10)
+
+
+def plain_greedy(scenes, n, target, depth, weight=0.35):
+    """The greedy choice, scene by scene and tile by tile. scenes: ord, tiles, clear, azimuth, elevation, quality."""
+    import math
+
+    chosen, left = [], sorted(scenes)
+    tiles = {t: {"obs": 0.0, "x": 0.0, "y": 0.0, "aw": 0.0, "e": 0.0, "ew": 0.0, "seen": False} for t in range(n)}
+    while sum(t["seen"] for t in tiles.values()) / n < target or sum(t["obs"] >= depth for t in tiles.values()) / n < planner.DEPTH_TARGET:
+        best, most = None, 0.0
+        for s in left:
+            _, own, clear, azimuth, elevation, quality = s
+            score = 0.0
+            for k in own:
+                t = tiles[k]
+                if t["seen"] and t["obs"] >= depth:
+                    continue
+                part = (1 + max(0, depth - t["obs"])) * clear * max(0.0, 1 + weight * (quality - 0.5) * 2)
+                if azimuth is not None and t["aw"] > 0:
+                    part *= math.exp(-((abs((azimuth - math.degrees(math.atan2(t["y"], t["x"])) % 360 + 180) % 360 - 180) / 20) ** 2))
+                if elevation is not None and t["ew"] > 0:
+                    part *= math.exp(-(((elevation - t["e"] / t["ew"]) / 10) ** 2))
+                score += part
+            if score > most:
+                best, most = s, score
+        if best is None:
+            break
+        left.remove(best)
+        chosen.append(best[0])
+        _, own, clear, azimuth, elevation, _ = best
+        for k in own:
+            t = tiles[k]
+            t["seen"], t["obs"] = True, t["obs"] + clear
+            if azimuth is not None:
+                t["x"], t["y"], t["aw"] = t["x"] + math.cos(math.radians(azimuth)) * clear, t["y"] + math.sin(math.radians(azimuth)) * clear, t["aw"] + clear
+            if elevation is not None:
+                t["e"], t["ew"] = t["e"] + elevation * clear, t["ew"] + clear
+    return chosen
+
+
+def test_the_whole_greedy_choice_is_that_of_a_plain_version(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for month in ("2024-01", "2024-02"):
+        for k in range(60):
+            x, y = rng.randrange(6), rng.randrange(6)
+            own = sorted({(x + i) % 6 * 6 + (y + j) % 6 for i in range(rng.randint(1, 3)) for j in range(rng.randint(1, 3))})
+            rows.append((month, k, own, rng.uniform(0.5, 1), rng.choice([None, rng.uniform(0, 360)]), rng.choice([None, rng.uniform(20, 60)]), rng.random()))
+    found = planner.select(spark.createDataFrame(rows, "month string, ord long, tiles array<int>, clear_fraction double, sun_azimuth double, sun_elevation double, quality_score double"), 36).collect()
+    for month in ("2024-01", "2024-02"):
+        want = plain_greedy([r[1:] for r in rows if r[0] == month], 36, 0.98, 3.0)
+        assert len(want) > 20 and [r["ord"] for r in sorted(found, key=lambda r: r["rank"]) if r["month"] == month] == want
+
+
+def test_a_service_key_is_needed():
+    from orbweave.operators import orders as O
+
+    assert O.basic_header("key ") == "Basic a2V5Og=="
+    with pytest.raises(ValueError):
+        O.basic_header(" ")
+
+
+def test_lookup_by_a_list(spark):
+    from orbweave.operators import orders as O
+
+    items = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "item_id string, n int")
+    assert [r["item_id"] for r in O.lookup(items, ["a", "", "zz", "a"]).collect()] == ["a"]

@@ -219,3 +219,156 @@ def test_rf_predict_classifies_every_pixel_with_the_default_forest(spark, monkey
     pixels = {divmod(x["vec_id"], 25) for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     rows = queries.QUERIES["rf_predict"](spark, sf).collect()
     assert len(rows) == len(pixels) and {(x["r"], x["c"]) for x in rows} == pixels and asked == [(500, None)]
+
+
+def packed_lzw(data):
+    """A plain encoder: codes of growing length, the table cleared when it is full."""
+    out, bits, n, size = bytearray(), 0, 0, 9
+    table, word = {bytes([k]): k for k in range(256)}, b""
+
+    def put(code):
+        nonlocal bits, n
+        bits, n = bits << size | code, n + size
+        while n >= 8:
+            out.append(bits >> (n - 8) & 255)
+            n -= 8
+            bits &= (1 << n) - 1
+
+    put(256)
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = len(table) + 2
+        word = data[k : k + 1]
+        size = 9 if len(table) + 2 < 512 else 10 if len(table) + 2 < 1024 else 11 if len(table) + 2 < 2048 else 12
+        if len(table) + 2 >= 4094:
+            put(256)
+            table, size = {bytes([k]): k for k in range(256)}, 9
+    if word:
+        put(table[word])
+    put(257)
+    if n:
+        out.append(bits << (8 - n) & 255)
+    return bytes(out)
+
+
+def rewritten(path, grid, strip, compression, predictor):
+    """A file of write_array with its one strip kept otherwise: the strip goes to the end, and its entries are changed."""
+    import struct
+
+    raw = bytearray(path.read_bytes())
+    at = struct.unpack("<I", raw[4:8])[0]
+    n = struct.unpack("<H", raw[at : at + 2])[0]
+    entries = [bytes(raw[at + 2 + 12 * k : at + 14 + 12 * k]) for k in range(n)]
+    new = {259: (3, compression), 273: (4, len(raw)), 279: (4, len(strip)), 317: (3, predictor)}
+    entries = [e for e in entries if struct.unpack("<H", e[:2])[0] not in new]
+    entries += [struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value) for tag, (kind, value) in new.items()]
+    entries.sort(key=lambda e: struct.unpack("<H", e[:2])[0])
+    start = len(raw) + len(strip) + len(strip) % 2
+    raw[4:8] = struct.pack("<I", start)
+    path.write_bytes(bytes(raw) + strip + b"\0" * (len(strip) % 2) + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0\0\0\0")
+
+
+@pytest.mark.parametrize("compression", ["lzw", "zstd", "none"])
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+def test_other_compressions_and_predictors(tmp_path, compression, predictor):
+    rng = np.random.default_rng(3)
+    dtype = "float32" if predictor == 3 else "int16"
+    a = np.cumsum(rng.normal(0, 3, (60, 50, 2)), axis=1).astype(dtype)
+    path, grid = tmp_path / "a.tif", R.Grid(50, 60, (1.0, 0.0, 0.0, 0.0, -1.0, 60.0), "EPSG:32633")
+    files.write_array(str(path), a, grid)
+    if predictor == 1:
+        raw = a.tobytes()
+    elif predictor == 2:
+        raw = np.diff(a, axis=1, prepend=np.zeros((60, 1, 2), dtype)).astype(dtype).tobytes()
+    else:
+        planes = a.astype(">f4").reshape(60, 100).view(np.uint8).reshape(60, 100, 4).transpose(0, 2, 1).reshape(60, 200, 2)
+        raw = np.diff(planes, axis=1, prepend=np.zeros((60, 1, 2), np.uint8)).astype(np.uint8).tobytes()
+    if compression == "zstd":
+        raw = pytest.importorskip("zstandard").ZstdCompressor().compress(raw)
+    rewritten(path, grid, packed_lzw(raw) if compression == "lzw" else raw, {"lzw": 5, "zstd": 50000, "none": 1}[compression], predictor)
+    back, h = files.read_array(str(path))
+    assert np.array_equal(back, a) and h.grid.crs == "EPSG:32633" and not h.geographic
+
+
+def test_big_tiff(tmp_path):
+    a = np.arange(600, dtype="float32").reshape(20, 10, 3)
+    files.write_array(str(tmp_path / "b.tif"), a, R.Grid(10, 20, (1.0, 0.0, 5.0, 0.0, -1.0, 9.0), "EPSG:4326", (-1.0,)), big=True)
+    back, h = files.read_array(str(tmp_path / "b.tif"))
+    assert (tmp_path / "b.tif").read_bytes()[2] == 43 and np.array_equal(a, back) and h.geographic and h.grid.transform[2] == 5.0 and h.grid.nodata == (-1.0,) * 3
+
+
+def test_cubic_weights():
+    w = R.cubic(np.array([0.0, 0.25, 0.5]))
+    assert np.allclose(w.sum(axis=1), 1) and np.allclose(w[0], [0, 1, 0, 0]) and np.allclose(w[2], [-0.0625, 0.5625, 0.5625, -0.0625])
+
+
+def test_bicubic_keeps_planes_and_holes(spark):
+    a = np.add.outer(np.arange(12) * 2.0, np.arange(14)) + 1
+    rows = table(spark, a).filter("NOT (r = 5 AND c = 6)")
+    fine = R.Grid(28, 24, (0.5, 0, 0, 0, -0.5, 12), "EPSG:3857")
+    got = {(r["r"], r["c"]): r["bands"][0] for r in R.resampled(rows, R.Grid(14, 12, (1, 0, 0, 0, -1, 12), "EPSG:3857"), fine, shape=(5, 4)).collect()}
+    assert len(got) == 28 * 24 - 4 and all((r // 2, c // 2) != (5, 6) for r, c in got)
+    assert all(got[r, c] == pytest.approx((r + 0.5) - 1 + (c + 0.5) / 2 - 0.5 + 1) for r in range(16, 20) for c in range(18, 24))  # away from the hole
+
+
+def test_edge_distance_is_that_to_the_nearest_cell_without_data(spark):
+    rng = np.random.default_rng(4)
+    some = rng.random((2, 13, 17)) < 0.85
+    rows = [(k, int(r), int(c)) for k in range(2) for r, c in np.argwhere(some[k])]
+    for k, r, c, d in R.edge_distance(spark.createDataFrame(rows, "strip int, r int, c int"), "strip").collect():
+        empty = np.argwhere(~np.pad(some[k], 1)) - 1
+        assert d == pytest.approx(np.sqrt(((empty - [r, c]) ** 2).sum(axis=1).min()))
+
+
+class Thresholds:
+    """A model that is no forest: classes by the first band."""
+
+    classes_ = np.array([10, 20])
+
+    def predict(self, rows):
+        return np.where(rows[:, 0] > 2, 20, 10)
+
+
+def test_any_model_with_predict_and_classes(spark, tmp_path):
+    import pickle
+
+    from pyspark import cloudpickle
+
+    a = np.array([[1, 2], [3, 4]], "uint8")[..., None]
+    grid = R.Grid(2, 2, (1.0, 0.0, 0.0, 0.0, -1.0, 2.0), "EPSG:32633")
+    files.write_array(str(tmp_path / "i.tif"), a, grid)
+    cloudpickle.register_pickle_by_value(__import__(Thresholds.__module__))
+    (tmp_path / "m.pkl").write_bytes(cloudpickle.dumps(Thresholds()))
+    out = classify.predict_rf(str(tmp_path / "i.tif"), str(tmp_path / "m.pkl"), str(tmp_path / "o.tif"), binary_out=str(tmp_path / "bin"), spark=spark)
+    assert files.read_array(out)[0][..., 0].tolist() == [[10, 10], [20, 20]]
+    assert files.read_array(str(tmp_path / "bin/class_20.tif"))[0][..., 0].tolist() == [[0, 0], [1, 1]]
+    assert pickle.loads((tmp_path / "m.pkl").read_bytes()).classes_.tolist() == [10, 20] and classify.importances_of(Thresholds()) is None
+
+
+def test_distance_refuses_degrees_and_rotation(spark, tmp_path):
+    (tmp_path / "v.geojson").write_text(json.dumps(geo.box(1, 1, 2, 2).to_json()))
+    for transform, crs in (((1.0, 0.0, 0.0, 0.0, -1.0, 9.0), "EPSG:4326"), ((1.0, 0.5, 0.0, 0.0, -1.0, 9.0), "EPSG:32633"), ((1.0, 0.0, 0.0, 0.0, -1.0, 9.0), None)):
+        files.write_array(str(tmp_path / "t.tif"), np.zeros((4, 4, 1), "uint8"), R.Grid(4, 4, transform, crs))
+        with pytest.raises(ValueError):
+            classify.distance_to_vector(str(tmp_path / "v.geojson"), str(tmp_path / "t.tif"), str(tmp_path / "d.tif"), spark=spark)
+
+
+def test_a_strip_s_centre_is_that_of_its_bounds():
+    grid = R.Grid(2000, 2000, (300.0, 0.0, 200_000.0, 0.0, -300.0, 8_000_000.0), "EPSG:32633")
+    lon, lat = C.transform("EPSG:32633", "EPSG:4326", *np.meshgrid(np.linspace(200_000, 800_000, 60), np.linspace(7_400_000, 8_000_000, 60)))
+    centre = mosaic.projection("x.tif", grid).center_lonlat
+    assert centre == pytest.approx(((lon.min() + lon.max()) / 2, (lat.min() + lat.max()) / 2), abs=0.01)
+
+
+def test_training_writes_point_layers_and_empty_classes(spark, scene):
+    tmp, _ = scene
+    classify.train_rf(str(tmp / "img.tif"), str(tmp / "labels.geojson"), "cls", str(tmp / "m2"), n_estimators=3, max_depth=3, test_fraction=0, spark=spark)
+    assert os.path.exists(tmp / "m2_train_points.gpkg") and not os.path.exists(tmp / "m2_val_points.gpkg")
+    rows = A.class_band_stats(spark.createDataFrame([(1, [2.0, 4.0])], "label int, features array<double>"), [1, 2]).collect()
+    found = {(r["label"], r["band"]): (r["n"], r["mean"]) for r in rows}
+    assert found[1, 2] == (1, 4.0) and found[2, 1][0] == 0 and np.isnan(found[2, 1][1]) and len(found) == 4
+    assert A.label_preview({k: f"n{k}" for k in range(11)}).endswith("9:n9 ...") and A.label_preview({1: "a"}) == "1:a"
