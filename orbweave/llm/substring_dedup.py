@@ -275,9 +275,10 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
                 bits = [_packed(x) if x.any() else None for x in np.split(flags, edges)]
                 yield pa.RecordBatch.from_arrays([*(row.column(c).flatten() for c in ("doc_id", "key", "n_words", "sha")), pa.array(bits, pa.binary())], ["doc_id", "key", "n_words", "sha", "bits"])
 
-    told = repeated(_rows(state, False), ["h"])
+    told = materialise(repeated(_rows(state, False), ["h"]), "told")
     found = materialise(state.join(told, "src", "left").select("doc_id", "key", "n_words", "sha", "parts", "number", "told").mapInArrow(report, f"doc_id {kind}, key binary, n_words long, sha string, bits binary"), "found")
     discard(state)
+    discard(told)
     clean = found.filter("bits IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
 
     # Documents with candidates, with their text: again a row for each block, and what it counts at the next length.
@@ -323,12 +324,13 @@ def substring_dedup(df: DataFrame, window: int = 35, doc_id: str = "doc_id", tex
                         yield block_row(row.column("src")[0].as_py(), row.column("doc_id").flatten(), row.column("text").flatten(), words, alive, after)
 
         last = length == window
-        told = repeated(_rows(stage, last), ["h", "c"] if last else ["h"])
+        told = materialise(repeated(_rows(stage, last), ["h", "c"] if last else ["h"]), "told")
         joined = stage.join(told, "src", "left").select("src", "doc_id", "text", "alive", "number", "told")
         if last:
             return clean.unionByName(joined.mapInArrow(settle, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
         before, stage = stage, materialise(joined.mapInArrow(settle, schema), "candidates")
         discard(before)
+        discard(told)
     raise AssertionError("the last length is the window")
 
 
