@@ -372,9 +372,9 @@ def test_recall_near_the_threshold(spark):
     rng = random.Random(21)
     docs, pairs = [], 1500
     for k in range(pairs):
-        w = [f"p{k}x{i}" for i in range(130)]
+        w = [f"p{k}x{i}" for i in range(140)]
         other = list(w)
-        for at in rng.sample(range(2, 128, 5), 3):  # 15 of 126 shingles go at most: similarity 0.79 to 0.85
+        for at in rng.sample(range(4, 136, rng.choice([1, 2, 5])), 3):  # 15 of 136 shingles go at most: similarity 0.80 and more
             other[at] = "new"
         docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in docs)]
