@@ -48,21 +48,28 @@ def prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: flo
 
 
 def shingles(words: Words, n: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's different n-word shingles, sorted, and where each text's begin (and the end): hashes, or, if exact, numbers that are
-    equal within these texts where the words are. A text of fewer words has one shingle, all its words; one without a word has none."""
+    """Each text's n-word shingles, and where each text's begin (and the end): hashes, in order of place, or, if exact, numbers that are
+    equal within these texts where the words are, each once and sorted. A text of fewer words has one shingle, all its words; one without a
+    word has none."""
     if not len(words.begin):
         return np.zeros(0, np.int64 if exact else np.uint64), np.zeros(len(words.count) + 1, np.int64)
     own = np.repeat(np.arange(len(words.count)), words.count)
     of = words.numbers if exact else words.hashes
     out, out_own = of(n)[words.whole].astype(np.int64 if exact else np.uint64), own[words.whole]
     above = int(out.max()) + 1 if exact and len(out) else 0
-    for size in range(1, n):  # short texts, by their number of words
+    short = (words.count > 0) & (words.count < n)
+    for size in range(1, n) if short.any() else ():  # short texts, by their number of words
         few = np.flatnonzero(words.count == size)
         if len(few):
             some = of(size)[words.first[few]]
             some = some + above if exact else mix64(some.astype(np.uint64) + np.uint64(size))
             above = int(some.max()) + 1 if exact else 0
             out, out_own = np.append(out, some.astype(out.dtype)), np.append(out_own, few)
+    if not exact:
+        if short.any():
+            order = np.argsort(out_own, kind="stable")
+            out, out_own = out[order], out_own[order]
+        return out, np.searchsorted(out_own, np.arange(len(words.count) + 1))
     order = np.lexsort((out, out_own))
     out, out_own = out[order], out_own[order]
     new = np.ones(len(out), bool)
@@ -86,11 +93,11 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def keys(signature: np.ndarray, length: int) -> np.ndarray:
     """For each row and tree a 64-bit number of the tree and its label's prefix."""
     out = np.zeros((len(signature), TREES), np.uint64)
-    seeds = table64(5, TREES)
+    seeds, steps = table64(5, TREES), table64(6, length)
     for t in range(TREES):
         x = np.full(len(signature), seeds[t], np.uint64)
         for k in range(length):
-            x = mix64(x ^ (signature[:, t * DEPTH + k].astype(np.uint64) + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            x = mix64(x ^ (signature[:, t * DEPTH + k].astype(np.uint64) + steps[k]))
         out[:, t] = x
     return out
 
@@ -147,9 +154,12 @@ def join_subtrie(labels: np.ndarray, sketches: np.ndarray, least: float, shortes
     Rows are sorted by label and searched from the whole label up to the shortest prefix. At each depth, texts of one prefix that are
     not yet in one component are compared; when the subtrie is one component, its prefix is not shortened further.
     """
+    need = int(np.ceil(least * sketches.shape[1]))
+    if len(labels) == 2:  # nothing to choose: they meet at some depth or other
+        near = int((sketches[0] == sketches[1]).sum()) >= need
+        return [(0, 1)] * near, int(np.argmin(np.append(labels[0] == labels[1], False))) if near else shortest
     order = np.lexsort(labels.T[::-1])
     labels, sketches = labels[order], sketches[order]
-    need = int(np.ceil(least * sketches.shape[1]))
     forest, out, depth = Forest(len(labels)), [], labels.shape[1]
     for depth in range(labels.shape[1], shortest - 1, -1):
         edges = np.flatnonzero((labels[1:, :depth] != labels[:-1, :depth]).any(axis=1)) + 1
@@ -280,10 +290,10 @@ def _linked(df: DataFrame, threshold: float, shingle: int, doc_id: str, text: st
             s, n = signatures(h, first), np.diff(first)
             raw = words.data.tobytes()
             seq = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() if some else None for a, b, some in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), (n > 0).tolist(), strict=True)]
-            whole = np.add.reduceat(np.append(mix64(h), np.uint64(0)), first[:-1]) if len(n) else n  # the same for equal sets
+            whole = keys(s, DEPTH).sum(axis=1, dtype=np.uint64)  # the same for equal sets
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(keys(s, shortest).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("key"), pa.array(seq, pa.binary()), pa.array(n.astype(np.int64)), pa.array(whole.astype(np.uint64).view(np.int64)), pa.array([r.tobytes() for r in s], pa.binary()), lists],
+                [block.column("doc_id"), block.column("key"), pa.array(seq, pa.binary()), pa.array(n.astype(np.int64)), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in s], pa.binary()), lists],
                 ["doc_id", "key", "seq", "n", "whole", "sketch", "keys"],
             )
 
