@@ -109,7 +109,7 @@ def select(candidates: DataFrame, n_tiles: int, by: str = "month", coverage_targ
 
 
 def plan_monthly_composites(
-    aoi_path: str,
+    aoi_path: str | geo.Geometry,
     start_date: str,
     end_date: str,
     item_type: str = "PSScene",
@@ -137,7 +137,7 @@ def plan_monthly_composites(
     """The plan of each month, keyed `YYYY-MM`: items, aoi_coverage, candidate_count, filtered_count, selected_count, tile_count,
     clear_depth_fraction, tile_size_m, coverage_target, min_clear_obs and filters.
 
-    candidate_count counts what the catalog's search finds: collection, dates, area and the plain columns that it has.
+    candidate_count counts what the catalog's search finds: collection, dates, area and the plain columns that it has. The area is a file, or a geometry in degrees.
     """
     if month_grouping != "calendar":
         raise ValueError("Only 'calendar' month grouping is supported.")
@@ -153,7 +153,7 @@ def plan_monthly_composites(
         raise ValueError("start_date must be before or equal to end_date.")
 
     spark = catalog.sparkSession
-    area, crs = vector.load_area(aoi_path)
+    area, crs = (aoi_path, "EPSG:4326") if isinstance(aoi_path, geo.Geometry) else vector.load_area(aoi_path)
     asked = area.project(crs, "EPSG:4326").simplified(MAX_VERTICES)
     projected = area.project(crs, TILE_CRS)
     grid = T.Grid(*projected.bounds(), tile_size_m)
@@ -161,6 +161,8 @@ def plan_monthly_composites(
     n_tiles = tiles.count()
 
     found = search(catalog, asked, start, end, [collection] if collection else [item_type], sun_elevation_min, cloud_max, imagery_type, instrument_types, limit)
+    if "collection_id" not in found.columns:
+        found = found.withColumn("collection_id", F.lit(None).cast("string"))
     found = found.transform(_numbered).cache()
     where = found.withColumn("place", geo.projected_geojson("EPSG:4326", TILE_CRS)(F.col("geometry"))).filter("place.json IS NOT NULL")
     usable = where.filter(SC.cloud_ok(F.col("props"), cloud_max)).filter(SC.sun_ok(F.col("props"), sun_elevation_min))

@@ -624,6 +624,46 @@ def geometry_measures(spark, sf_dir):
     return found.select("ord", "m.vertices", "m.xmin", "m.ymin", "m.xmax", "m.ymax", F.greatest(F.col("m.xmax") - F.col("m.xmin"), F.col("m.ymax") - F.col("m.ymin")).alias("span"))
 
 
+def _catalog(spark, sf_dir):
+    """Scenes as a catalog has them: a hundred thousand of a fixture's units are a degree, and each month's scenes are of its 15th."""
+    plain = X.load(spark, sf_dir, "SCENES").select("ord", "cloud_cover", "sun_elevation", "instrument")
+    side = [F.col(c) / 1e5 for c in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax", "xmin", "ymax", "xmin", "ymin")]
+    square = F.format_string('{"type":"Polygon","coordinates":[[[%f,%f],[%f,%f],[%f,%f],[%f,%f],[%f,%f]]]}', *side)
+    found = X.scenes(spark, sf_dir).withColumn("geometry", square).withColumn("acquired", F.to_date(F.concat("month", F.lit("-15"))))
+    return found.drop("month", "xmin", "ymin", "xmax", "ymax").join(plain, "ord")
+
+
+_SEARCHED = "instrument IN ('PS2', 'PSB.SD') AND sun_elevation >= 30 AND cloud_cover <= 0.5 AND xmin <= 1000 AND xmax >= 0 AND ymin <= 1000 AND ymax >= 0"
+
+
+@query(f"""{_SCENES}, c AS (SELECT *, coalesce({_QUALITY}, 0.5) AS quality FROM s WHERE {_SEARCHED}), n AS (SELECT month, count(*) AS candidates, count(*) FILTER (WHERE clear >= 0.5) AS filtered FROM c GROUP BY month),
+p AS (SELECT month, item_id, clear, view_angle FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(clear * {_MULT}, 12) DESC, ord) AS k FROM c WHERE clear >= 0.5) WHERE k = 1),
+m AS (SELECT '2024-0' || CAST(t AS VARCHAR) AS month, CASE WHEN t = 3 THEN '2024-03-20' WHEN t = 2 THEN '2024-02-29' ELSE '2024-01-31' END AS month_end FROM range(1, 4) x(t))
+SELECT m.month, month_end, coalesce(candidates, 0) AS candidates, coalesce(filtered, 0) AS filtered, CAST(CASE WHEN p.month IS NULL THEN 0 ELSE 1 END AS BIGINT) AS selected, CAST(1 AS BIGINT) AS tiles, CASE WHEN p.month IS NULL THEN 0.0 ELSE 1.0 END AS coverage,
+  p.item_id, round(p.clear, 6) + 0.0 AS clear_fraction, round(p.view_angle, 6) + 0.0 AS view_angle FROM m LEFT JOIN n USING (month) LEFT JOIN p USING (month)""")
+def monthly_plan(spark, sf_dir):
+    """The whole plan of an area of one tile, for which the best scene of a month is enough."""
+    plan = planner.plan_monthly_composites(geo.box(0.0, 0.0, 0.01, 0.01), "2024-01-01", "2024-03-20", imagery_type=None, instrument_types=["PS2", "PSB.SD"], cloud_max=0.5, sun_elevation_min=30.0, min_clear_fraction=0.5, min_clear_obs=0.4, tile_size_m=100_000, catalog=_catalog(spark, sf_dir))
+    rows = []
+    for month, p in plan.items():
+        best = p["items"][0] if p["items"] else None
+        angle = best and best["properties"]["view_angle"]
+        rows.append((month, p["filters"]["month_end"], p["candidate_count"], p["filtered_count"], p["selected_count"], p["tile_count"], p["aoi_coverage"], best and best["id"], best and round(best["clear_fraction"], 6) + 0.0, None if angle is None else round(float(angle), 6) + 0.0))
+    return spark.createDataFrame(rows, "month string, month_end string, candidates long, filtered long, selected long, tiles long, coverage double, item_id string, clear_fraction double, view_angle double")
+
+
+@query(f"""{_SCENES}, q AS (SELECT *, coalesce(({_QUALITY.replace('0.5 *', '0.1 *').replace('THEN 0.5', 'THEN 0.1')}), 0.5) AS oq FROM s WHERE month = '2024-02' AND {_SEARCHED} AND clear >= 0.3 AND abs(view_angle) <= 15 AND item_id NOT IN ('scene-1', 'scene-13', 'scene-25', 'scene-49')),
+w AS (SELECT *, clear * greatest(0.0, 1 + 0.35 * (oq - 0.5) * 2) AS combined FROM q)
+SELECT CAST(row_number() OVER (ORDER BY combined DESC, clear DESC, ord) AS BIGINT) AS rank, item_id, round(combined, 6) + 0.0 AS combined, trim(instrument) AS instrument FROM w ORDER BY combined DESC, clear DESC, ord LIMIT 20""")
+def replacement_search(spark, sf_dir):
+    """Replacements as an order asks for them: found in the catalog by the plan's own filters."""
+    from .plans import orders
+
+    own = {"item_type": "PSScene", "instrument_types": ["PS2", "PSB.SD"], "min_clear_fraction": 0.3, "sun_elevation_min": 30.0, "cloud_max": 0.5, "max_view_angle": 15, "month_start": "2024-02-01", "month_end": "2024-02-20"}
+    out = orders.replacement_table(_catalog(spark, sf_dir), {"filters": own}, "2024-02", geo.box(0.0, 0.0, 0.01, 0.01).to_json(), 20, {"scene-1", "scene-13", "scene-25", "scene-49"})
+    return out.select(F.col("rank").cast("long").alias("rank"), "item_id", r6("combined").alias("combined"), F.trim("properties.instrument").alias("instrument"))
+
+
 @query()
 def rf_predict(spark, sf_dir):
     from .plans import classify
