@@ -5,6 +5,8 @@ Doubles are rounded to six places, and + 0.0 makes a negative zero a plain one.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from .operators import scenes as SC
 from .operators import smoothing as M
 from .operators import tiles as T
 from .plans import planner
-from .session import materialise
+from .session import materialise, scratch_file
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -361,8 +363,6 @@ def _ring_sql() -> str:
 e AS (SELECT fid, label, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM (SELECT fid, label, ring, unnest(range(1, len(ring))) AS i FROM {_ring_sql()}))
 SELECT fid, label, r, c FROM px, e GROUP BY fid, label, r, c HAVING sum(CASE WHEN (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) THEN 1 ELSE 0 END) % 2 = 1""")
 def rasterize_samples(spark, sf_dir):
-    import json
-
     rows = [(f, label, json.dumps({"type": "Polygon", "coordinates": [ring]})) for f, label, ring in X.POLYGONS]
     polygons = spark.createDataFrame(rows, "fid int, label int, geometry string")
     pixels = X.load(spark, sf_dir, "PIXELS")
@@ -664,6 +664,76 @@ def replacement_search(spark, sf_dir):
     return out.select(F.col("rank").cast("long").alias("rank"), "item_id", r6("combined").alias("combined"), F.trim("properties.instrument").alias("instrument"))
 
 
+def _pixel_grid(spark, sf_dir, size: float = 1.0) -> R.Grid:
+    return R.Grid(WIDTH, _height(spark, sf_dir), (size, 0.0, 0.0, 0.0, size, 0.0), "EPSG:3857")
+
+
+@query(f"{_PROBS} SELECT r, c, CAST(CASE WHEN nodata THEN -1 ELSE list_position(p, list_max(p)) * 10 END AS DOUBLE) AS value FROM l")
+def class_file(spark, sf_dir):
+    """Classes written as a GeoTIFF under a .vrt name, and read again block by block."""
+    from .plans import classify
+    from .sources import raster as files
+
+    classes = [10.0, 20.0, 30.0, 40.0]
+    rows = R.class_raster(_probs(spark, sf_dir), classes, F.col("valid"))
+    pixels, _ = files.read(spark, classify.write_classes(rows, scratch_file(spark, "classes.vrt"), _pixel_grid(spark, sf_dir), classes))
+    return pixels.select("r", "c", F.element_at("bands", 1).alias("value"))
+
+
+@query(_icm_sql(1, energy="ln(greatest(1e-9, least(1.0, CAST(CAST(p[i] AS FLOAT) AS DOUBLE))))").replace("CAST(coalesce(g.label, -1) AS INT) AS label", "CAST(coalesce(g.label + 1, -1) AS DOUBLE) AS value"))
+def smoothed_file(spark, sf_dir):
+    """A raster of probabilities written, smoothed from the file into another, and read again."""
+    from .plans import classify
+    from .sources import raster as files
+
+    p = X.load(spark, sf_dir, "PROBS")
+    bands = ["p1", "p2", "p3", "p4"]
+    path, grid = scratch_file(spark, "probs.tif"), _pixel_grid(spark, sf_dir)
+    files.write(p.select("r", "c", *[F.when(~F.col("nodata"), F.col(b)).otherwise(float("nan")).alias(b) for b in bands]), path, R.Grid(grid.width, grid.height, grid.transform, grid.crs, (float("nan"),)), bands, "float32")
+    pixels, _ = files.read(spark, classify.smooth_probs(path, scratch_file(spark, "smooth.tif"), class_values=[1, 2, 3, 4], smooth="mrf", icm_iters=1, spark=spark))
+    return pixels.select("r", "c", F.element_at("bands", 1).alias("value"))
+
+
+def _polygon_file(spark, named: bool) -> str:
+    """The fixture's polygons as GeoJSON, their labels as words."""
+    features = [{"type": "Feature", "properties": {"id": f"f{f}", "cls": f"k{label}" if label else None}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for f, label, ring in X.POLYGONS if named or label]
+    path = scratch_file(spark, "labels.geojson")
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump({"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:3857"}}, "features": features}, out)
+    return path
+
+
+_INSIDE = f"""px AS (SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, vec_id % 25 + 0.5 AS x, floor(vec_id / 25) + 0.5 AS y, vec_id % 17 = 0 AS nodata FROM embeddings),
+e AS (SELECT fid, label, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM (SELECT fid, label, ring, unnest(range(1, len(ring))) AS i FROM {_ring_sql()})),
+n AS (SELECT fid, label, r, c, nodata FROM px, e GROUP BY fid, label, r, c, nodata HAVING sum(CASE WHEN (y0 > y) <> (y1 > y) AND x < x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+@query(f"""WITH {_INSIDE}, h AS (SELECT CAST(max(vec_id) // 25 + 1 AS BIGINT) AS h FROM embeddings)
+SELECT CAST(fid AS BIGINT) * 25 * h + r * 25 + c AS ord, label, r, c, 'f' || CAST(fid AS VARCHAR) AS source_id FROM n, h WHERE NOT nodata""")
+def training_samples(spark, sf_dir):
+    """Samples under the polygons of a label file; cells without data are none."""
+    from .plans import classify
+
+    pixels = X.load(spark, sf_dir, "PIXELS").select("r", "c", F.when(F.col("nodata"), F.array(F.lit(-9.0))).otherwise(F.array(F.element_at("bands", 1).cast("double"))).alias("bands"))
+    found, _ = classify.training_samples(spark, pixels, _pixel_grid(spark, sf_dir), [-9.0], _polygon_file(spark, True), "cls")
+    return found.select("ord", "label", "r", "c", "source_id")
+
+
+@query(f"""WITH {_INSIDE} SELECT a.r, a.c, round(CAST(CAST(min(sqrt(pow(a.r - b.r, 2) + pow(a.c - b.c, 2))) AS FLOAT) AS DOUBLE), 4) + 0.0 AS distance FROM px a, n b GROUP BY a.r, a.c""")
+def distance_file(spark, sf_dir):
+    """The distance from a template's cells to a vector file's features, as a GeoTIFF that is read again."""
+    import numpy as np
+
+    from .plans import classify
+    from .sources import raster as files
+
+    grid = _pixel_grid(spark, sf_dir)
+    template = scratch_file(spark, "template.tif")
+    files.write_array(template, np.zeros((grid.height, grid.width, 1), "uint8"), grid)
+    pixels, _ = files.read(spark, classify.distance_to_vector(_polygon_file(spark, False), template, scratch_file(spark, "distance.tif"), spark=spark))
+    return pixels.select("r", "c", (F.round(F.element_at("bands", 1), 4) + 0.0).alias("distance"))
+
+
 @query()
 def rf_predict(spark, sf_dir):
     from .plans import classify

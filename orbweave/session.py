@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def scratch_file(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that no Spark writer makes; the folder must be mounted, not a store. release() deletes them."""
+    root = urlsplit(_root(spark))
+    if root.scheme not in ("", "file"):
+        raise ValueError(f"{root.scheme} is no mounted folder")
+    folder = os.path.join(root.path, f"files-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    return os.path.join(folder, name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing will read again."""
     path = getattr(df, "_orbweave_path", None)
