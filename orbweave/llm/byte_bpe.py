@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, exact_numbers, table, utf8
 
-STRETCH_BYTES = 12_000_000
+STRETCH_BYTES = 6_000_000
 #: The name of the column that workers read and replace.
 OWN = "_ow_payload"
 LETTER, NUMBER, SPACE, OTHER = range(4)

@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2_000_000
 
 
+#: What Python workers are started with: Arrow's own allocators, and one for each thread, would keep what was freed.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
-    """From now on an Arrow batch of this session closes at `most` bytes (one longer row still goes whole)."""
+    """From now on an Arrow batch of this session closes at `most` bytes (one longer row still goes whole), and Python workers give
+    the memory of batches that they are done with back to the system."""
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     if now is None or not now.isdigit() or int(now) > most:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
