@@ -107,7 +107,8 @@ def _texts(block: pa.RecordBatch) -> list[str]:
 
 
 def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
-    """The prototype of each non-null value of lang. Each task sends one sum for each language, whatever it has read."""
+    """The prototype of each non-null value of lang. Each task sends one sum for each language, whatever it has read; a column of more than
+    MOST_LANGUAGES values is an error."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
