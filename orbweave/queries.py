@@ -639,7 +639,7 @@ _SEARCHED = "instrument IN ('PS2', 'PSB.SD') AND sun_elevation >= 30 AND cloud_c
 @query(f"""{_SCENES}, c AS (SELECT *, coalesce({_QUALITY}, 0.5) AS quality FROM s WHERE {_SEARCHED}), n AS (SELECT month, count(*) AS candidates, count(*) FILTER (WHERE clear >= 0.5) AS filtered FROM c GROUP BY month),
 p AS (SELECT month, item_id, clear, view_angle FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(clear * {_MULT}, 12) DESC, ord) AS k FROM c WHERE clear >= 0.5) WHERE k = 1),
 m AS (SELECT '2024-0' || CAST(t AS VARCHAR) AS month, CASE WHEN t = 3 THEN '2024-03-20' WHEN t = 2 THEN '2024-02-29' ELSE '2024-01-31' END AS month_end FROM range(1, 4) x(t))
-SELECT m.month, month_end, coalesce(candidates, 0) AS candidates, coalesce(filtered, 0) AS filtered, CAST(CASE WHEN p.month IS NULL THEN 0 ELSE 1 END AS BIGINT) AS selected, CAST(1 AS BIGINT) AS tiles, CASE WHEN p.month IS NULL THEN 0.0 ELSE 1.0 END AS coverage,
+SELECT m.month, month_end, coalesce(candidates, 0) AS candidates, coalesce(filtered, 0) AS filtered, CAST(CASE WHEN p.month IS NULL THEN 0 ELSE 1 END AS BIGINT) AS selected, CAST(1 AS BIGINT) AS tiles, CAST(CASE WHEN p.month IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS coverage,
   p.item_id, round(p.clear, 6) + 0.0 AS clear_fraction, round(p.view_angle, 6) + 0.0 AS view_angle FROM m LEFT JOIN n USING (month) LEFT JOIN p USING (month)""")
 def monthly_plan(spark, sf_dir):
     """The whole plan of an area of one tile, for which the best scene of a month is enough."""
@@ -744,7 +744,7 @@ class Threshold:
 
 
 @query("""SELECT CAST(floor(vec_id / 25) AS INT) AS r, CAST(vec_id % 25 AS INT) AS c, CAST(CASE WHEN vec_id % 17 = 0 THEN -1 WHEN embedding[1] > 0 THEN 20 ELSE 10 END AS DOUBLE) AS class,
-  CAST(CASE WHEN vec_id % 17 <> 0 AND embedding[1] > 0 THEN 1 ELSE 0 END AS DOUBLE) AS class_20, CASE WHEN vec_id % 17 = 0 THEN NULL WHEN embedding[1] > 0 THEN 0.0 ELSE 1.0 END AS p_10 FROM embeddings""")
+  CAST(CASE WHEN vec_id % 17 <> 0 AND embedding[1] > 0 THEN 1 ELSE 0 END AS DOUBLE) AS class_20, CAST(CASE WHEN vec_id % 17 = 0 THEN NULL WHEN embedding[1] > 0 THEN 0 ELSE 1 END AS DOUBLE) AS p_10 FROM embeddings""")
 def object_model_file(spark, sf_dir):
     """An image file classified by a pickled object: the classes, the second one's mask, and the first one's probability."""
     import pickle
