@@ -21,7 +21,7 @@ def base():
 
 
 #: Queries that must leave out what a raster has and the table has not.
-RAGGED = ["class_file", "distance_file", "distance_surface", "object_model_file"]
+RAGGED = ["class_file", "distance_file", "distance_surface", "object_model_file", "smoothed_file"]
 
 
 def plain(v):
