@@ -221,6 +221,68 @@ def test_rf_predict_classifies_every_pixel_with_the_default_forest(spark, monkey
     assert len(rows) == len(pixels) and {(x["r"], x["c"]) for x in rows} == pixels and asked == [(500, None)]
 
 
+def test_a_whole_forest_tells_its_samples_classes_in_few_jobs(spark, tmp_path):
+    import random
+
+    from orbweave.operators import forest as T
+
+    rng = random.Random(3)
+    rows = [(20 if x[0] + x[1] > 1 else 100 if x[2] > 0.5 else 3, x) for x in ([rng.random() for _ in range(9)] for _ in range(400))]
+    samples = spark.createDataFrame(rows, "label int, features array<double>")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    model = classify.fit(samples, 500)
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+    assert jobs < 40 and classify.classes_of(model) == [100.0, 20.0, 3.0]  # in the order of their texts
+    pixels = spark.createDataFrame([(k, 0, x) for k, (_, x) in enumerate(rows)], "r int, c int, bands array<double>")
+    said = {r["r"]: r["class"] for r in classify.predicted(pixels, model).collect()}
+    assert all(said[k] == label for k, (label, _) in enumerate(rows))
+    p = {r["r"]: r["p"] for r in classify.probabilities(pixels, model).collect()}
+    assert all(abs(sum(v) - 1) < 1e-9 for v in p.values())
+    new = [[rng.random() for _ in range(9)] for _ in range(400)]
+    right = sum(v == (20 if x[0] + x[1] > 1 else 100 if x[2] > 0.5 else 3) for x, v in zip(new, model.predict(np.array(new)), strict=True))
+    assert right > 340 and max(range(9), key=model.feature_importances_.__getitem__) < 3 and sum(model.feature_importances_) == pytest.approx(1)
+    assert T.fit(samples.repartition(7), 3, None, 5).predict(np.array(new)).tolist() == T.fit(samples, 3, None, 5).predict(np.array(new)).tolist()
+    model.save(str(tmp_path / "m"))
+    assert (T.Forest.load(str(tmp_path / "m")).predict(np.array(new)) == model.predict(np.array(new))).all()
+
+
+def test_a_tree_is_cut_where_a_plain_search_cuts_it():
+    from orbweave.operators import forest as T
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (60, 3)).astype(np.uint8), rng.integers(0, 3, 60)
+
+    class Same:  # every row once
+        def integers(self, a, b, n):
+            return np.arange(n)
+
+        def random(self, shape):
+            return np.zeros(shape)
+
+    (feature, cut, left, shares), _ = T.grow(x, y, 3, 3, None, Same())
+
+    def gini(part):
+        return (np.bincount(part, minlength=3) ** 2).sum() / len(part)
+
+    def follow(k, rows):
+        own = y[rows]
+        if len(set(own.tolist())) == 1:
+            assert feature[k] == -1 and left[k] == own[0]
+            return
+        tried = {(f, c): gini(own[x[rows, f] <= c]) + gini(own[x[rows, f] > c]) for f in range(3) for c in range(6) if 0 < (x[rows, f] <= c).sum() < len(rows)}
+        if not tried:
+            assert feature[k] == -2 and np.allclose(shares[left[k]], np.bincount(own, minlength=3) / len(own))
+            return
+        assert tried[feature[k], cut[k]] == pytest.approx(max(tried.values()))
+        low = x[rows, feature[k]] <= cut[k]
+        follow(left[k], rows[low])
+        follow(left[k] + 1, rows[~low])
+
+    follow(0, np.arange(60))
+    (feature, *_), _ = T.grow(x, y, 3, 1, 2, rng)
+    assert len(feature) <= 7
+
+
 def packed_lzw(data):
     """A plain encoder: codes of growing length, the table cleared when it is full."""
     out, bits, n, size = bytearray(), 0, 0, 9
