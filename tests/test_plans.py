@@ -267,6 +267,49 @@ def test_the_whole_greedy_choice_is_that_of_a_plain_version(spark):
         assert len(want) > 20 and [r["ord"] for r in sorted(found, key=lambda r: r["rank"]) if r["month"] == month] == want
 
 
+def arrow_scenes(rows):
+    import pyarrow as pa
+
+    names = ["ord", "tiles", "clear_fraction", "sun_azimuth", "sun_elevation", "quality_score"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.float64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def test_greedy_by_batches_and_blocks_is_that_of_a_plain_version(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(200):
+        x, y = rng.randrange(6), rng.randrange(6)
+        own = sorted({(x + i) % 6 * 6 + (y + j) % 6 for i in range(rng.randint(1, 3)) for j in range(rng.randint(1, 3))})
+        rows.append((k, own, rng.choice([0.5, rng.uniform(0.5, 1)]), rng.choice([None, rng.uniform(0, 360)]), rng.choice([None, rng.uniform(20, 60)]), rng.random()))
+    monkeypatch.setattr(planner, "SCORED", 7)
+    scenes, whole = planner.Scenes(), arrow_scenes(rows)
+    for low in range(0, 200, 13):
+        scenes.add(whole.slice(low, 13))
+    found = planner.greedy(scenes, 36, 0.98, 3.0, 20.0, 10.0, 0.35).tolist()
+    assert len(found) > 20 and found == plain_greedy(rows, 36, 0.98, 3.0)
+
+
+def test_greedy_takes_little_memory_beside_its_scenes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 400_000
+    flat = pa.ListArray.from_arrays(pa.array([8 * k for k in range(n + 1)], pa.int32()), pa.array([k % 16 for k in range(8 * n)], pa.int32()))
+    columns = [pa.array([0.9] * n), pa.array([100.0] * n), pa.array([40.0] * n), pa.array([0.5] * n)]
+    scenes, whole = planner.Scenes(), pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), flat, *columns], ["ord", "tiles", "clear_fraction", "sun_azimuth", "sun_elevation", "quality_score"])
+    tracemalloc.start()
+    for low in range(0, n, 10_000):
+        scenes.add(whole.slice(low, 10_000))
+    assert planner.greedy(scenes, 16, 0.98, 3.0, 20.0, 10.0, 0.35).tolist() == list(range(8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 220 * n  # 80 bytes a scene are its own
+
+
 def test_a_service_key_is_needed():
     from orbweave.operators import orders as O
 
